@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid_crf, mpegts, quality_cnn, tokencount
+from . import bpe, jaccard, langid_crf, licenses, mpegts, quality_cnn, secrets, tokencount
 from .common import table
 
 
@@ -12,6 +12,18 @@ def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_crf.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2(table(spark, sf_dir, "documents"))
+
+
+def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op7(table(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"))
 
@@ -28,5 +40,5 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_crf, op4_bpe_chunks, op8_token_counts, op9_transport_streams, op10_quality_cnn)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid_crf, op2_secret_ownership, op3_jaccard_paths, op4_bpe_chunks, op7_license_dice, op8_token_counts, op9_transport_streams, op10_quality_cnn)}
+ORACLES: dict[str, str] = {"op2_secret_ownership": secrets.SQL, "op7_license_dice": licenses.sql()}
