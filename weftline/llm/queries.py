@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid_crf, licenses, mpegts, quality_cnn, secrets, tokencount
+from . import bpe, jaccard, langid_crf, licenses, mixing, mpegts, quality_cnn, secrets, tokencount, vptree
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.op6(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op7(table(spark, sf_dir, "documents"))
 
@@ -40,5 +48,23 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_crf, op2_secret_ownership, op3_jaccard_paths, op4_bpe_chunks, op7_license_dice, op8_token_counts, op9_transport_streams, op10_quality_cnn)}
-ORACLES: dict[str, str] = {"op2_secret_ownership": secrets.SQL, "op7_license_dice": licenses.sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_langid_crf,
+        op2_secret_ownership,
+        op3_jaccard_paths,
+        op4_bpe_chunks,
+        op5_mixing_ipf,
+        op6_vantage_trees,
+        op7_license_dice,
+        op8_token_counts,
+        op9_transport_streams,
+        op10_quality_cnn,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_secret_ownership": secrets.SQL,
+    "op5_mixing_ipf": mixing.sql(),
+    "op7_license_dice": licenses.sql(),
+}
