@@ -187,8 +187,7 @@ def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-def kept(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+def kept(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
     """The documents, with all their columns, that the classifier doesn't reject."""
-    names = docs.columns
-    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    return scored(packed, fit(docs, labels), keep=("__row",), cut=cut).where("predicted = 1").select("__row.*")
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return scored(packed, model, keep=("__row",), cut=cut).where("predicted = 1").select("__row.*")
