@@ -18,11 +18,13 @@ Defined cases: null and empty texts have no ids and decode to an empty text; a t
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from .common import flat_utf8, map_texts
 
 WINDOW, MEAN = 16, 512  # bytes that the rolling hash sees; mean bytes between two cuts
-CHUNKS, PIECES = 60_000, 250_000  # entries of the two caches, each kept in two generations
+CHUNKS, PIECES = 20_000, 250_000  # entries of the two caches, each kept in two generations
 
 
 def public_path(name: str) -> str:
@@ -99,6 +101,19 @@ def blanks_split(spec: dict) -> bool:
     return bool(easy and drops and later and added and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("post_processor"))
 
 
+def core_of(piece: str) -> tuple[str, str]:
+    """A piece that encodes to the same ids, of fewer different ones, and a mark to encode behind it (or '').
+
+    A dot or comma after a letter is a piece of its own in the split, and the files lower case before it. Both hold
+    for any letter; here only letters up to U+00FF are touched, where all libraries agree on what is a letter.
+    """
+    end = piece[-1:]
+    core = piece[:-1] if end in (".", ",") else piece
+    if core.isalpha() and max(core) <= "\xff":
+        return core.lower(), end if core is not piece else ""
+    return piece, ""
+
+
 class Encoder:
     """Encodes and decodes texts; lives in a worker, with its caches."""
 
@@ -113,6 +128,7 @@ class Encoder:
             spec = json.load(f)
         self.splits, self.plain, self.mean = blanks_split(spec), spec.get("decoder") is None, mean
         self.tokens = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size(with_added_tokens=True))] if self.plain else []
+        self.lowers = self.splits and '{"type": "Lowercase"}' in json.dumps(spec["normalizer"]) and "|[\\\\p{L}]+|" in json.dumps(spec["pre_tokenizer"])
         special = [x for x in spec.get("added_tokens", []) if x["special"] and x["content"][:2] not in x["content"][1:]]
         self.between = (special[0]["content"], special[0]["id"]) if special else None
         self.pieces, self.chunks = Cache(PIECES), Cache(CHUNKS)
@@ -141,11 +157,6 @@ class Encoder:
                 out[piece] = raw[4 * a : 4 * b], " ".join(tokens[a:b])
         return out
 
-    def joined(self, text: str, known: dict[str, tuple[bytes, str]]) -> tuple[bytes, str]:
-        """Ids and decoded text of what lies between blanks."""
-        got = [known[x] for x in text.split(" ") if x]
-        return b"".join([x[0] for x in got]), " ".join([x[1] for x in got if x[1]])
-
     def open_chunk(self, chunk: str) -> tuple[str, str | None, str]:
         """Text before the first blank, between the first and the last, and after the last; without a blank: all, None, ''."""
         a = chunk.find(" ")
@@ -154,21 +165,61 @@ class Encoder:
         b = chunk.rfind(" ")
         return chunk[:a], chunk[a:b], chunk[b + 1 :]
 
-    def learn(self, texts: list[str]) -> dict[str, tuple[bytes, str]]:
-        """What each distinct piece of these texts encodes to, from the cache or the library."""
-        known: dict[str, tuple[bytes, str]] = {}
-        missing = []
-        young, old = self.pieces.young, self.pieces.old
-        for piece in set(" ".join(texts).split(" ")):
-            got = young.get(piece) or old.get(piece)
-            if got is None:
-                missing.append(piece)
+    def learn(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """What each piece encodes to, from the cache or the library."""
+        got = list(map(self.pieces.young.get, pieces))
+        if None not in got:
+            return got
+        missing = {pieces[i] for i, x in enumerate(got) if x is None}
+        known, cores = {}, {}
+        for piece in missing:
+            have = self.pieces.old.get(piece)
+            if have is None:
+                cores[piece] = core_of(piece) if self.lowers else (piece, "")
             else:
-                known[piece] = got
-        for piece, got in self.fill(missing).items():
-            known[piece] = got
-            self.pieces.put(piece, got)
-        return known
+                known[piece] = have
+        young, old = self.pieces.young, self.pieces.old
+        parts = {y for core in cores.values() for y in core}
+        found = {y: x for y in parts if (x := young.get(y) or old.get(y)) is not None}
+        new = sorted(parts - found.keys() - {""})
+        found |= self.fill(new) | {"": (b"", "")}
+        for piece, (core, end) in cores.items():
+            x = found[core]
+            known[piece] = (x[0] + found[end][0], f"{x[1]} {found[end][1]}") if end else x
+        for piece, x in known.items():
+            self.pieces.put(piece, x)
+        for core in new:
+            self.pieces.put(core, found[core])
+        return [known[pieces[i]] if x is None else x for i, x in enumerate(got)]
+
+    def inside(self, inners: list[str], plain: bool) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each of these stretches between blanks.
+
+        Only the distinct pieces of them all are looked up; the rest is gathering by their numbers. Plain stretches have
+        no letter above U+00FF and no special token: they are put in lower case, and parted between letter and dot or
+        comma, as the file's own steps would do.
+        """
+        arr = pa.array(inners, pa.large_string())
+        if plain:
+            arr = pc.replace_substring_regex(pc.utf8_lower(arr), "([a-zß-öø-ÿ])([.,])", r"\1 \2")
+        parts = pc.split_pattern(arr, " ")
+        off = parts.offsets.to_numpy()
+        off = off - off[0]
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = self.learn(coded.dictionary.to_pylist())
+        size = np.fromiter((len(x[0]) // 4 for x in known), np.int64, len(known))
+        # a piece without ids leaves no trace
+        used = size[codes] > 0
+        off, codes = np.r_[0, np.cumsum(used)][off], codes[used]
+        start, count = np.r_[0, np.cumsum(size)], size[codes]
+        ends = np.r_[0, np.cumsum(count)]
+        ids = np.frombuffer(b"".join([x[0] for x in known]), np.int32)
+        raw = ids[np.arange(ends[-1]) + np.repeat(start[codes] - ends[:-1], count)].tobytes()
+        said = pa.array([x[1] for x in known], pa.string()).take(pa.array(codes))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(off, pa.int32()), said), " ").to_pylist()
+        at = (4 * ends[off]).tolist()
+        return [(raw[a:b], t) for a, b, t in zip(at[:-1], at[1:], text, strict=True)]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], list[str]]:
         """Ids (int32 bytes) and decoded text of each text, given as UTF-8 end to end."""
@@ -178,13 +229,26 @@ class Encoder:
             return [np.array(e.ids, np.int32).tobytes() for e in got], [self.lib.decode(e.ids, skip_special_tokens=False) for e in got]
         ends, count = cuts(data, off, self.mean)
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        odd = np.r_[0, np.cumsum((data > 0xC3) | (data == 0x3C))]  # beyond U+00FF, or the beginning of a special token
+        plain = ((odd[ends] == odd[starts]) & self.lowers).tolist()
         texts = [raw[a:b].decode().replace("\n", " ") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         # each chunk that is new in this worker is encoded once
-        have = {c: got for c in set(texts) if (got := self.chunks.get(c)) is not None}
-        new = {c: self.open_chunk(c) for c in set(texts) if c not in have}
-        known = self.learn([inner for _, inner, _ in new.values() if inner])
-        for c, (head, inner, tail) in new.items():
-            have[c] = (head, None if inner is None else self.joined(inner, known), tail)
+        have, new = {}, {}
+        for c, easy in zip(texts, plain, strict=True):
+            if c not in have and c not in new:
+                got = self.chunks.get(c)
+                if got is None:
+                    new[c] = (*self.open_chunk(c), easy)
+                else:
+                    have[c] = got
+        for easy in (True, False):
+            own = [(c, x) for c, x in new.items() if x[3] == easy and x[1] is not None]
+            for lo in range(0, len(own), 20_000):  # far below what 32-bit offsets hold
+                part = own[lo : lo + 20_000]
+                for (c, x), got in zip(part, self.inside([x[1] for _, x in part], easy), strict=True):
+                    have[c] = x[0], got, x[2]
+        have |= {c: (x[0], None, x[2]) for c, x in new.items() if x[1] is None}
+        for c in new:
             self.chunks.put(c, have[c])
         # the joins: pieces that are open where chunks meet, closed by the next blank
         plans: list[list] = []
@@ -202,10 +266,10 @@ class Encoder:
             joins += [x for x in plan if isinstance(x, str)]
             plans.append(plan)
             at += k
-        known = self.learn(joins)
+        closed = iter(self.learn(joins))
         ids, decoded = [], []
         for plan in plans:
-            got = [known[x] if isinstance(x, str) else x for x in plan if x]
+            got = [next(closed) if isinstance(x, str) else x for x in plan]
             ids.append(b"".join([x[0] for x in got]))
             decoded.append(" ".join([x[1] for x in got if x[1]]))
         return ids, decoded
@@ -224,7 +288,9 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ke
         encoder = Encoder(path or public_path("word_bpe_49k.json"), mean)
 
         def run(texts: pa.Array) -> list[pa.Array]:
+            gc.disable()  # millions of new tuples without a cycle
             ids, decoded = encoder.encode(*flat_utf8(texts))
+            gc.enable()
             off = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))])
             return [pa.ListArray.from_arrays(pa.array(off), values), pa.array(decoded, pa.string())]
