@@ -78,9 +78,9 @@ def test_secrets_against_regular_expressions(spark):
 
 
 def test_ownership_parts_examples_from_credentials(spark):
-    wide, own, token = "token = abcdefabcdefabcdef", "token = fedcbafedcbafedcba99", "key Zz9_aaaaaaaaaaaaaaaaaaaaaaaa end"
+    wide, own, token = "token = abcdefabcdefabcdef", "token = fedcbafedcbafedcba99", "key Zz9_qwrtqwrtqwrtqwrtqwrtqwrt end"
     rows = [(i, f"copied {wide}", "en", f"s{i}") for i in range(5)] + [(10, f"mine {own}", "en", "s1"), (11, f"mine {own}", "en", "s1"), (12, token, "en", "s2")]
-    rows += [(20 + i, "Ww8_bbbbbbbbbbbbbbbbbbbbbbbb", "en", f"s{i}") for i in range(4)]
+    rows += [(20 + i, "Ww8_mnopmnopmnopmnopmnopmnop", "en", f"s{i}") for i in range(4)]
     got = {r.doc_id: r for r in secrets.op2(frame(spark, rows)).collect()}
     assert got[0].n_live == 0 and got[0].n_example == 2  # assignment and the hex in it
     assert got[10].n_live == 2 and got[12].n_token == 1 and got[12].spans == "token:4:32"
@@ -223,7 +223,7 @@ def test_mixing_edge_cases(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
     assert {r.weight for r in mixing.mixed(frame(spark, rows[:2])).collect()} == {1.0}
     only = mixing.mixed(df, {"lang": {"fr": 1.0}}).collect()
-    assert {r.doc_id for r in only if r.p > 0} <= {3, None}
+    assert all(r.p == 0 for r in only if r.doc_id in (1, 2)) and any(r.p > 0 for r in only if r.doc_id == 3)
 
 
 # ---- nearest neighbours

@@ -12,8 +12,8 @@ Targets default to the tokens' shares raised to a power below 1 (``TEMPER``), wh
 The test tables have no topic; a text's form (`topic_of`) stands in for it.
 
 Defined cases: a null in a cell's column is a value of its own; a null or empty text has no tokens, weighs nothing in
-the marginals, and is sampled by its cell's probability (a cell without tokens has weight 1); no tokens at all give weight 1 everywhere; repeated rows are
-all kept or all dropped; a null id draws as an empty one.
+the marginals, and is sampled by its cell's probability (a value without tokens scales nothing); no tokens at all give
+weight 1 everywhere; repeated rows are all kept or all dropped; a null id draws as an empty one.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def scale(w: np.ndarray, t: np.ndarray, budget: float) -> float:
     w, t = w[order], t[order].astype(float)
     full = np.r_[0, np.cumsum(t)[:-1]]
     rest = np.cumsum((w * t)[::-1])[::-1]
-    c = np.where(rest > 0, (budget * t.sum() - full) / np.where(rest > 0, rest, 1), np.inf)
-    ok = np.flatnonzero(c * w <= 1)
+    c = np.where(rest > 0, (budget * t.sum() - full) / np.where(rest > 0, rest, 1), 0)
+    ok = np.flatnonzero((rest > 0) & (c * w <= 1))
     return float(c[ok[0]]) if len(ok) else float(1 / w[w > 0].min()) if (w > 0).any() else 1.0
 
 
