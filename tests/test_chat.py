@@ -25,6 +25,7 @@ CASES = [
     (reply(("user", "a"), ("user", "b")), None),
     (reply(("user", ""), ("assistant", "yo")), 1),
     (GOOD + " " + GOOD, None),
+    (GOOD + ", " + GOOD, None),
     ("no braces", None),
     ("}{", None),
     ("", None),

@@ -63,6 +63,12 @@ def _object(reply: Column, fences: bool) -> Column:
     return F.when((i > 0) & F.contains(s, F.lit("}")) & (j > i), s.substr(i, j - i + 1))
 
 
+def _json(text: Column) -> Column:
+    """A JSON text as a variant; null if it doesn't parse or more stands behind it, which the brackets bring to light."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
@@ -70,7 +76,7 @@ def _is(value: Column, kind: str) -> Column:
 def parsed(reply: Column, fences: bool = True) -> Column:
     """The messages of a model's reply, stripped and without empty ones; null unless it is an object with two or more
     messages of known roles and text contents, of which an assistant's is left."""
-    msgs = F.try_variant_get(F.try_parse_json(_object(reply, fences)), "$.messages", "array<variant>")
+    msgs = F.try_variant_get(_json(_object(reply, fences)), "$.messages", "array<variant>")
     role = lambda m: F.try_variant_get(m, "$.role", "string")
     content = lambda m: F.try_variant_get(m, "$.content", "variant")
     fine = F.forall(msgs, lambda m: F.coalesce(role(m).isin(*ROLES), F.lit(False)) & _is(content(m), "STRING"))
@@ -83,8 +89,8 @@ def tool_calls_valid(messages: Column) -> Column:
     """Whether a call in the assistant's turns is well formed and none of the first calls of a turn fails to parse."""
     calls = F.filter(messages, lambda m: (m["role"] == "assistant") & F.contains(m["content"], F.lit("<tool_call>")))
     inner = F.transform(calls, lambda m: strip(F.element_at(F.split(F.element_at(F.split(m["content"], "<tool_call>", 2), 2), "</tool_call>", 2), 1)))
-    broken = F.exists(inner, lambda t: F.try_parse_json(t).isNull())
-    good = F.exists(inner, lambda t: F.try_variant_get(F.try_parse_json(t), "$.name", "variant").isNotNull() & _is(F.try_variant_get(F.try_parse_json(t), "$.arguments", "variant"), "OBJECT"))
+    broken = F.exists(inner, lambda t: _json(t).isNull())
+    good = F.exists(inner, lambda t: F.try_variant_get(_json(t), "$.name", "variant").isNotNull() & _is(F.try_variant_get(_json(t), "$.arguments", "variant"), "OBJECT"))
     return F.coalesce(good & ~broken, F.lit(False))
 
 

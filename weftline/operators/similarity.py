@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, norm
+from ..functions.vectors import unit
 
 BLOCK = 8192  # vectors in a block of either side
 POSTINGS = 48
 
 
 def _unit_rows(df: DataFrame, id_col: str, vec: str, *more: str) -> DataFrame:
-    n = norm(F.col(vec))
-    return df.where(n > 0).select(F.col(id_col).alias("id"), F.transform(doubles(F.col(vec)), lambda x: x / n).alias("v"), *more)
+    return df.select(F.col(id_col).alias("id"), unit(F.col(vec)).alias("v"), *more).where("v IS NOT NULL")
 
 
 def nearest(queries: DataFrame, memory: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:

@@ -52,7 +52,7 @@ def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A JSON sidecar as one row; None if it is missing or broken."""
     try:
         rows = spark.read.schema(schema + ", __bad string").json(path, multiLine=True, columnNameOfCorruptRecord="__bad").where("__bad IS NULL").drop("__bad")
-        return None if rows.isEmpty() else rows
+        return rows if rows.take(1) else None
     except AnalysisException:
         return None
 
