@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..functions.schedules import cosine_anneal, inverse_decay, warmup_steps
 from ..functions.text import approx_tokens, clock, safe_name, unit_draw
 from ..operators import chat, metrics, ngrams, sampling, similarity, tokens, vocab
+from ..operators.lineage import cut
 from ..sources.readers import jsonl, table
 from . import sqltext as q
 
@@ -182,8 +183,8 @@ round(exp(avg(-ln(pi))), 6) AS ppl_interpolated, round(avg(CAST(seen AS DOUBLE))
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf)
-    v = _vocab(s)
-    train, test = _parts(vocab.mapped_stream(s, v))
+    v = cut(_vocab(s))
+    train, test = _parts(cut(vocab.mapped_stream(s, v)))  # the id stream is written once, as the counts and the test read it again and again
     return ngrams.baseline_rows(train, test, v.count() + 1, 8)
 
 
@@ -222,7 +223,7 @@ sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, coalesce(h.len, 0) AS matched,
 
 @query(f"WITH {_suffix_sql(4)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
 def infini_gram(spark, sf):
-    train, test = _parts(_stream(spark, sf))
+    train, test = _parts(cut(_stream(spark, sf)))
     return ngrams.longest_suffix(train, test, 4).withColumn("p", F.round("p", 12))
 
 
@@ -233,7 +234,7 @@ _UNI = "un AS (SELECT token, count(*) AS c FROM train GROUP BY 1), ut AS (SELECT
 SELECT CAST(lam AS DOUBLE) AS "lambda", count(*) AS n, round(exp(avg(-ln((1 - lam) * (coalesce(c, 0) + 0.05) / (n + 0.05 * 65536) + lam * p + 1e-30))), 6) AS ppl
 FROM sfx CROSS JOIN ut CROSS JOIN l LEFT JOIN un ON un.token = sfx.y GROUP BY lam""")
 def lambda_sweep(spark, sf):
-    train, test = _parts(_stream(spark, sf))
+    train, test = _parts(cut(_stream(spark, sf)))
     rows = ngrams.longest_suffix(train, test, 4).select("y", F.col("p").alias("pg"))
     uni = train.select(F.explode("tokens").alias("y")).groupBy("y").agg(F.count("*").alias("c"))
     total = F.broadcast(train.agg(F.sum("n").alias("total")))
