@@ -58,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents; each stage's rows are written to the shared folder and read again."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
     tag = uuid.uuid4().hex
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from .common import flat_utf8, map_texts
 
 WINDOW, MEAN = 16, 512  # bytes that the rolling hash sees; mean bytes between two cuts
-CHUNKS, PIECES = 20_000, 250_000  # entries of the two caches, each kept in two generations
+CHUNKS, PIECES = 6_000, 80_000  # entries of the two caches, each kept in two generations
+AT_ONCE = 2 << 20  # bytes of text
 
 
 def public_path(name: str) -> str:
@@ -291,13 +292,14 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ke
             gc.disable()  # millions of new tuples without a cycle
             ids, decoded = encoder.encode(*flat_utf8(texts))
             gc.enable()
+            pa.default_memory_pool().release_unused()
             off = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))])
             return [pa.ListArray.from_arrays(pa.array(off), values), pa.array(decoded, pa.string())]
 
         return run
 
-    return map_texts(docs, text_col, list(keep), FIELDS, make)
+    return map_texts(docs, text_col, list(keep), FIELDS, make, AT_ONCE)
 
 
 def decoded(df: DataFrame, path: str | None = None, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

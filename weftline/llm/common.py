@@ -33,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder named in spark.checkpoint.dir (a folder of this process if unset, as in tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
 
 
@@ -63,10 +63,11 @@ def map_texts(
     keep: list[str],
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    most: int = SUB_BATCH_BYTES,
 ) -> DataFrame:
     """Columns of `keep` beside those that `make()(texts)` computes, batch by batch, without a shuffle.
 
-    `make` runs once per task. Of a kept column and a computed one of the same name, the computed one stays.
+    `make` runs once per task; its function gets about `most` bytes of text at a time. Of a kept column and a computed one of the same name, the computed one stays.
     Texts reach the function as a string array that may hold nulls.
     """
     new = {f.name.lower() for f in fields}
@@ -78,7 +79,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in sub_batches(batch, at):
+            for part in sub_batches(batch, at, most):
                 out = fn(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *out], names=names)
 
