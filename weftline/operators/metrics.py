@@ -116,3 +116,10 @@ def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
 def feature_stats(df: DataFrame, vec: str) -> DataFrame:
     """i, mean, sd of each component of the vectors."""
     return df.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_pop("x"), 9).alias("sd"))
+
+
+def layers(run: DataFrame, other: DataFrame, arrays: list[str]) -> DataFrame:
+    """layer and one column for each of the run's arrays, zipped by place, beside the columns of the other run; one row each."""
+    zipped = F.arrays_zip(*[F.col(a) for a in arrays])
+    rest = [c for c in run.columns if c not in arrays]
+    return run.crossJoin(F.broadcast(other)).select(*rest, *other.columns, F.posexplode(zipped).alias("layer", "z")).select(*rest, *other.columns, "layer", *[F.col(f"z.{a}").alias(a) for a in arrays])

@@ -79,6 +79,11 @@ def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
     return running_before(df, order, F.lit(1), "nth", group=[group])
 
 
+def class_subset(df: DataFrame, cls: str, classes: list) -> DataFrame:
+    """The rows of some classes."""
+    return df.where(F.col(cls).isin(*classes)) if classes else df.limit(0)
+
+
 def stratified(df: DataFrame, cls: str, id_col: str, k: int, seed: str = "") -> DataFrame:
     """k rows of each class without replacement, those with the smallest md5 of the seeded id."""
     key = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary"))

@@ -539,6 +539,18 @@ def feature_stats(spark, sf):
     return metrics.feature_stats(table(spark, sf, "embeddings"), "embedding")
 
 
+@query("""WITH c AS (SELECT label, unnest(range(0, 4)) AS layer, unnest(embedding[1:4]) AS x FROM embeddings WHERE label IN (1, 2, 3)), n AS (SELECT count(*) AS others FROM embeddings WHERE label NOT IN (1, 2, 3))
+SELECT (SELECT count(*) FROM embeddings WHERE label IN (1, 2, 3)) AS n, others, CAST(layer AS INTEGER) AS layer, round(avg(CAST(x AS DOUBLE)), 9) AS mean, round(max(CAST(x AS DOUBLE)), 9) AS top FROM c, n GROUP BY layer, others""")
+def layer_report(spark, sf):
+    """Two runs of one row each side by side, with the first one's arrays zipped by layer."""
+    e = table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("int"))
+    own = sampling.class_subset(e, "label", [1, 2, 3])
+    at = [F.element_at("embedding", k + 1).cast("double") for k in range(4)]
+    run = own.agg(F.count("*").alias("n"), F.array(*[F.round(F.avg(x), 9) for x in at]).alias("mean"), F.array(*[F.round(F.max(x), 9) for x in at]).alias("top"))
+    other = e.where(~F.col("label").isin(1, 2, 3)).agg(F.count("*").alias("others"))
+    return metrics.layers(run, other, ["mean", "top"])
+
+
 @query("""WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM x)
 SELECT vec_id, string_agg(i, ',' ORDER BY r) FILTER (r <= 4) AS top, round(CAST(max(x) FILTER (r = 1) AS DOUBLE) - CAST(max(x) FILTER (r = 5) AS DOUBLE), 6) AS margin, count(*) FILTER (r <= 4) AS winners FROM r GROUP BY vec_id""")
 def sparse_codes(spark, sf):
