@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import flat_utf8, map_texts
 
 WINDOW, MEAN = 16, 512  # bytes that the rolling hash sees; mean bytes between two cuts
-CHUNKS, PIECES = 6_000, 80_000  # entries of the two caches, each kept in two generations
+CHUNKS, PIECES = 3_000, 180_000  # entries of the two caches, each kept in two generations
 AT_ONCE = 2 << 20  # bytes of text
 
 

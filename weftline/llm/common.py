@@ -82,6 +82,8 @@ def map_texts(
             for part in sub_batches(batch, at, most):
                 out = fn(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *out], names=names)
+                del out
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
