@@ -53,15 +53,25 @@ def windows(x: np.ndarray, emb: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(e, (len(x), n, WIDTH * DIM), (e.strides[0], STRIDE * DIM * e.itemsize, e.itemsize)).reshape(-1, WIDTH * DIM)
 
 
-def pooled(m: Model, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest value of each filter in each chunk, and the window it came from; windows behind the end don't count."""
+def filtered(m: Model, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Value of each filter in each window of each chunk; windows behind a chunk's end never win."""
     n = (CHUNK - WIDTH) // STRIDE + 1
     c = (windows(x, m["emb"]) @ m["conv"]).reshape(len(x), n, FILTERS)
     behind = np.arange(n) * STRIDE >= np.maximum(size, 1)[:, None]
     if behind.any():
         c[behind] = -1e9
-    at = c.argmax(1)
-    return np.take_along_axis(c, at[:, None], 1)[:, 0], at
+    return c
+
+
+def pooled(m: Model, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value of each filter in each chunk, and the window it came from; few chunks at a time, to save memory."""
+    pool, at = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int32)
+    for lo in range(0, len(x), AT_ONCE):
+        s = slice(lo, lo + AT_ONCE)
+        c = filtered(m, x[s], size[s])
+        at[s] = c.argmax(1)
+        pool[s] = np.take_along_axis(c, at[s][:, None].astype(np.int64), 1)[:, 0]
+    return pool, at
 
 
 def logits(m: Model, pool: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,22 +89,13 @@ def score(m: Model | None, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), np.float64)
     for lo in range(0, len(start), AT_ONCE):
         s = slice(lo, lo + AT_ONCE)
-        pool = pooled_max(m, matrix(data, start[s], size[s]), size[s])
+        pool = filtered(m, matrix(data, start[s], size[s]), size[s]).max(1)
         out[s] = logits(m, pool, size[s])[0]
     weight = np.maximum(size, 1).astype(np.float64)
     mean = np.bincount(doc, out * weight, n) / np.bincount(doc, weight, n)
     return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
 
-def pooled_max(m: Model, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    n = (CHUNK - WIDTH) // STRIDE + 1
-    c = (windows(x, m["emb"]) @ m["conv"]).reshape(len(x), n, FILTERS)
-    behind = np.arange(n) * STRIDE >= np.maximum(size, 1)[:, None]
-    if behind.any():
-        c[behind] = -1e9
-    return c.max(1)
-
-
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None:
     """Fit the network by gradient steps on the log loss (Adam); None if there is nothing to learn from."""
     if not len(texts):
@@ -109,14 +110,15 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
         "w2": rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32),
         "b2": np.array([np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))], np.float32),
     }
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    start, size, doc = chunks(np.cumsum([0, *map(len, texts)]))
-    by_doc = np.searchsorted(doc, np.arange(len(texts) + 1))
+    n, off, data = len(texts), np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
+    del texts
+    start, size, doc = chunks(off)
+    by_doc = np.searchsorted(doc, np.arange(n + 1))
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     step = 0
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // n))
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(n)
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
             rows = np.concatenate([np.arange(by_doc[d], by_doc[d + 1]) for d in docs])
@@ -163,7 +165,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = S
 
 def fit(docs: DataFrame, labels: DataFrame, **names: str) -> Model | None:
     got = sample(docs, labels, **names).orderBy(names.get("doc_id", "doc_id")).collect()
-    return train([(r.text or "").encode() for r in got], np.array([r.label for r in got], np.float64))
+    labelled = np.array([r.label for r in got], np.float64)
+    texts = [(r.text or "").encode() for r in got]
+    del got
+    return train(texts, labelled)
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:
