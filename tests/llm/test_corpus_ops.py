@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,22 @@ def test_default_factor_has_the_recall(spark):
     assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values())) > 0.95
 
 
+@pytest.mark.parametrize("norms", ["equal", "outlier", "spread"])
+def test_default_factor_with_unequal_norms(norms):
+    rng = np.random.default_rng(11)
+    n, k = 4000, 20
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"equal": np.ones(n), "outlier": np.r_[2, np.ones(n - 1)], "spread": np.exp(0.6 * rng.normal(size=n))}[norms][:, None]
+    ids = np.arange(n)
+    part = lambda rows: pa.table({"vec_id": ids[rows], "dim": np.full(len(rows), 64), "v": pa.array(list(x[rows]), pa.list_(pa.float64()))})
+    got = defaultdict(set)
+    for r in vptree.search(part(ids[::20]), part(ids), k, vptree.FACTOR).to_pylist():
+        got[r["query_id"]].add(r["vec_id"])
+    want = exact(x, ids, k)
+    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / (k * len(want)) > 0.95
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (1, [1.0, 0.0]), (40, [0.0, 0.0])]

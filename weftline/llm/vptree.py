@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by vantage-point trees, one for each shard.
 
-Nearness is the largest inner product. Vectors are lifted to a metric space in which the nearest by Euclidean distance
-is the one with the largest inner product: divided by the largest norm of all, with one more coordinate that gives each
-the norm 1; a query is divided by its own norm and has 0 there. In a shard's tree each inner node has a vantage point and
-the median distance to it. A search enters the side that a query lies on, then the other one unless the triangle
-inequality shows that nothing there is near enough: unless |distance - median| exceeds ``factor`` times the distance of the
-k-th neighbour so far. With factor 1 that is exact; a smaller one prunes more.
+Nearness is the largest inner product. A shard's tree holds the directions of its vectors, so that it does not depend on
+norms; each inner node has a vantage point and the median distance to it, and each node the largest norm in it. A vector
+of norm M or less that beats the score s of the k-th neighbour so far has a cosine of more than s / (|query| M): that
+bounds how far its direction is from the query's, for each node by the node's own M. A search enters the side that a query
+lies on, then the other one unless the triangle inequality shows that nothing there is near enough: unless |distance -
+median| exceeds ``factor`` times that bound. Nodes whose M is too small for s are left out. With factor 1 that is exact; a
+smaller one prunes more.
 
 Queries and shards meet in blocks: each pair of a block of queries and a shard is one group, bounded in rows, and gives
 each query its k nearest there. Scores are inner products of the given vectors in double precision.
@@ -26,42 +27,45 @@ from pyspark.sql import functions as F
 
 K, FACTOR = 20, 0.2
 SHARD, BLOCK, LEAF = 16_384, 16_384, 128  # vectors in a shard, queries in a block, vectors in a leaf (unless they are alike)
+SLACK = 1e-7  # distances of equal directions are rounded by so much
 
 
 class Tree:
-    """A vantage-point tree over points of norm 1."""
+    """A vantage-point tree over points of norm 1, the directions of vectors with these norms."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
+    def __init__(self, points: np.ndarray, norms: np.ndarray, leaf: int = LEAF):
+        self.points, self.norms, self.leaf = points, norms, leaf
         self.rng = np.random.default_rng(5)
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray):
+        top = float(self.norms[rows].max())
         if len(rows) <= self.leaf:
-            return rows
+            return top, rows
         vantage = self.points[rows[self.rng.integers(len(rows))]]
         d = distance(self.points[rows] @ vantage)
         middle = float(np.median(d))
         near = d <= middle
         if near.all():
-            return rows  # no distance parts them
-        return vantage, middle, self._build(rows[near]), self._build(rows[~near])
+            return top, rows  # no distance parts them
+        return top, vantage, middle, self._build(rows[near]), self._build(rows[~near])
 
     def visit(self, node, queries: np.ndarray, rows: np.ndarray, found: "Found", factor: float) -> None:
         """Search a subtree for these rows of queries."""
+        rows = rows[found.reach(rows, node[0]) >= 0]
         if not len(rows):
             return
-        if not isinstance(node, tuple):
-            found.add(rows, node)
+        if len(node) == 2:
+            found.add(rows, node[1])
             return
-        vantage, middle, inside, outside = node
+        _, vantage, middle, inside, outside = node
         d = distance(queries[rows] @ vantage)
         near = d <= middle
         self.visit(inside, queries, rows[near], found, factor)
         self.visit(outside, queries, rows[~near], found, factor)
-        may = np.abs(d - middle) <= factor * found.reach(rows) + 1e-9
-        self.visit(outside, queries, rows[near & may], found, factor)
-        self.visit(inside, queries, rows[~near & may], found, factor)
+        for other, mine in ((outside, near), (inside, ~near)):
+            may = np.abs(d[mine] - middle) <= factor * found.reach(rows[mine], other[0]) + SLACK
+            self.visit(other, queries, rows[mine][may], found, factor)
 
 
 def distance(cosine: np.ndarray) -> np.ndarray:
@@ -76,10 +80,16 @@ class Found:
         self.score = np.full((len(queries), k), -np.inf)
         self.at = np.full((len(queries), k), -1, np.int64)
 
-    def reach(self, rows: np.ndarray) -> np.ndarray:
-        """Distance of the k-th candidate; infinite as long as there are fewer."""
+    def reach(self, rows: np.ndarray, top: float) -> np.ndarray:
+        """Distance within which the direction of a vector of norm `top` or less lies if it reaches the k-th candidate.
+
+        Infinite as long as there are fewer; 2, the largest distance of all, if the k-th score is negative; -1 if no such
+        vector reaches it.
+        """
         worst = self.score[rows, -1]
-        return np.where(np.isfinite(worst), distance(np.where(np.isfinite(worst), worst, 0) / self.norms[rows]), np.inf)
+        cosine = np.where(np.isfinite(worst), worst, 0) / (self.norms[rows] * top)
+        far = np.where(cosine > 1 + 1e-9, -1.0, np.where(cosine < 0, 2.0, distance(cosine)))
+        return np.where(np.isfinite(worst), far, np.inf)
 
     def add(self, rows: np.ndarray, leaf: np.ndarray) -> None:
         s = self.q[rows] @ self.x[leaf].T
@@ -102,7 +112,7 @@ class Found:
 
 
 
-def search(queries: pa.Table, shard: pa.Table, k: int, factor: float, largest: float) -> pa.Table:
+def search(queries: pa.Table, shard: pa.Table, k: int, factor: float) -> pa.Table:
     """The k nearest in a shard of each query of a block: query_id, vec_id, score."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     q_len, x_len = (np.array(t.column("dim").to_pylist(), np.int64) for t in (queries, shard))
@@ -110,11 +120,10 @@ def search(queries: pa.Table, shard: pa.Table, k: int, factor: float, largest: f
         q, x = queries.filter(pa.array(q_len == dim)), shard.filter(pa.array(x_len == dim))
         qv, xv = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (q, x))
         qid, ids = q.column("vec_id").to_numpy(), x.column("vec_id").to_numpy()
-        norm = np.linalg.norm(qv, axis=1)
-        lifted = np.concatenate([xv / largest, np.sqrt(np.maximum(1 - (xv * xv).sum(1, keepdims=True) / largest**2, 0))], 1)
-        found = Found(qv, qid, xv, ids, k, norm * largest)
-        tree = Tree(lifted)
-        tree.visit(tree.root, np.concatenate([qv / norm[:, None], np.zeros((len(qv), 1))], 1), np.arange(len(qv)), found, factor)
+        norm, norms = np.linalg.norm(qv, axis=1), np.linalg.norm(xv, axis=1)
+        found = Found(qv, qid, xv, ids, k, norm)
+        tree = Tree(xv / norms[:, None], norms)
+        tree.visit(tree.root, qv / norm[:, None], np.arange(len(qv)), found, factor)
         r, c = np.nonzero(found.at >= 0)
         at = found.at[r, c]
         out.append((qid[r], ids[at], np.einsum("ij,ij->i", qv[r], xv[at])))
@@ -134,16 +143,15 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest that are found for each query; is_query: a condition on vec_id."""
     own = usable(rows, id_col, vec_col)
-    size = own.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.count(F.when(is_query, 1)).alias("q")).first()
+    size = own.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(size.n / SHARD)), max(1, math.ceil(size.q / BLOCK))
-    largest = math.sqrt(size.m or 1.0)
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cols = ["shard", "block", "vec_id", "dim", "v"]
     left = own.where(is_query).withColumn("block", place(blocks)).withColumn("shard", every(shards)).select(*cols)
     right = own.withColumn("shard", place(shards)).withColumn("block", every(blocks)).select(*cols)
     part = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        lambda q, x: search(q, x, k, factor, largest), "query_id long, vec_id long, score double"
+        lambda q, x: search(q, x, k, factor), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
