@@ -12,6 +12,7 @@ from weftline.functions import text as X
 from weftline.functions import vectors as V
 from weftline.operators import metrics, ngrams, sampling, similarity, tokens, vocab
 from weftline.operators.prefix import running_before
+from weftline.plans import catalog
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -106,6 +107,24 @@ def test_longest_suffix_against_backoff(spark):
     assert got[21].matched == 0  # behind "end" there is no longer context with a successor
 
 
+def test_registered_longest_suffix_looks_up_16_tokens(spark, tmp_path):
+    rng = random.Random(5)
+    flat = [rng.choice("abcdef") for _ in range(600)]
+    for to, at, n in ((550, 100, 9), (565, 200, 16), (585, 300, 15)):  # 16 is the most, and what follows is longer than that
+        flat[to : to + n] = flat[at : at + n]
+    spark.createDataFrame([(0, " ".join(flat))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.infini_gram(spark, str(tmp_path)).orderBy("pos").collect()
+    train, test = flat[:540], flat[540:]
+    want = [literal_suffix(train, test[max(0, i - 16) : i], test[i], 16) for i in range(60)]
+    assert [(r.matched, r.tot, r.yes, r.y) for r in got] == [(*w[:3], y) for w, y in zip(want, test, strict=True)]
+    assert all(math.isclose(r.p, w[3], abs_tol=1e-12) for r, w in zip(got, want, strict=True)) and {9, 15, 16} <= {r.matched for r in got}
+    words = {w: train.count(w) for w in set(train)}
+    base = [(words[y] + 0.05) / (len(train) + 0.05 * 65536) for y in test]
+    for r in catalog.lambda_sweep(spark, str(tmp_path)).collect():
+        logs = [-math.log((1 - r["lambda"]) * b + r["lambda"] * w[3] + 1e-30) for b, w in zip(base, want, strict=True)]
+        assert r.n == 60 and math.isclose(r.ppl, math.exp(sum(logs) / 60), rel_tol=1e-6)
+
+
 def test_cooccurrence(spark):
     flat = "a b a c d a b b e a".split()
     got = {(r.a, r.b): r.cnt for r in ngrams.cooccurrences(tokens.stream(docs(spark, "a b a c", "d a b b e a")), 2).collect()}

@@ -67,16 +67,6 @@ def contexts(s: DataFrame, context: int, size: int = BLOCK) -> DataFrame:
     return b.select(F.inline(row))
 
 
-def suffixes(s: DataFrame, most: int, size: int = BLOCK) -> DataFrame:
-    """pos, context, token for each length of context from 1 to `most` that a position has, out of one pass over the blocks."""
-    b = blocks(s, size, before=most)
-    low = F.greatest(F.lit(1), F.col("block") * size - F.col("first")).cast("int")
-    at = F.when(F.size("tokens") > low, F.sequence(low, F.size("tokens") - 1)).otherwise(F.array().cast("array<int>"))
-    one = lambda i, n: F.struct((F.col("first") + i).alias("pos"), F.slice("tokens", i - n + 1, n).alias("context"), F.element_at("tokens", i + 1).alias("token"))
-    rows = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), i)), lambda n: one(i, n))))
-    return b.select(F.inline(rows))
-
-
 def strided(n: Column, window: int, stride: int) -> Column:
     """Windows over n tokens as an array of (begin, end, scored): each scores the targets that the one before did not."""
     starts = F.when(n >= 2, F.sequence(F.lit(0), (n - 2).cast("long"), F.lit(stride))).otherwise(F.array().cast("array<bigint>"))

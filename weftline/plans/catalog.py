@@ -224,7 +224,7 @@ sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, coalesce(h.len, 0) AS matched,
 @query(f"WITH {_suffix_sql(4)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
 def infini_gram(spark, sf):
     train, test = _parts(cut(_stream(spark, sf)))
-    return ngrams.longest_suffix(train, test, 4).withColumn("p", F.round("p", 12))
+    return ngrams.longest_suffix(train, test).withColumn("p", F.round("p", 12))
 
 
 _UNI = "un AS (SELECT token, count(*) AS c FROM train GROUP BY 1), ut AS (SELECT count(*) AS n FROM train)"
@@ -235,7 +235,7 @@ SELECT CAST(lam AS DOUBLE) AS "lambda", count(*) AS n, round(exp(avg(-ln((1 - la
 FROM sfx CROSS JOIN ut CROSS JOIN l LEFT JOIN un ON un.token = sfx.y GROUP BY lam""")
 def lambda_sweep(spark, sf):
     train, test = _parts(cut(_stream(spark, sf)))
-    rows = ngrams.longest_suffix(train, test, 4).select("y", F.col("p").alias("pg"))
+    rows = ngrams.longest_suffix(train, test).select("y", F.col("p").alias("pg"))
     uni = train.select(F.explode("tokens").alias("y")).groupBy("y").agg(F.count("*").alias("c"))
     total = F.broadcast(train.agg(F.sum("n").alias("total")))
     pb = (F.coalesce("c", F.lit(0)) + 0.05) / (F.col("total") + 0.05 * 65536)
