@@ -145,6 +145,17 @@ def test_suffix_ranks(spark):
     assert got == {i: order[tuple(k)] for i, k in key.items()}
 
 
+def test_registered_suffix_ranks_sort_by_16_tokens(spark, tmp_path):
+    rng = random.Random(6)
+    once = [rng.choice("abc") for _ in range(12)]
+    flat = [*once, "d", *once, "b", *once, "c", *once]  # alike for 12 tokens, then parted
+    spark.createDataFrame([(0, " ".join(flat))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pos: r["rank"] for r in catalog.suffix_ranks(spark, str(tmp_path)).collect()}
+    key = [tuple(flat[i : i + 16]) for i in range(len(flat))]
+    order = {k: n + 1 for n, k in enumerate(sorted(set(key)))}
+    assert got == {i: order[k] for i, k in enumerate(key)}
+
+
 def test_words_and_strip(spark):
     df = spark.createDataFrame([("Café It's Kb",), (None,), ("",)], "t string")
     assert [r.w for r in df.select(X.words(F.col("t")).alias("w")).collect()] == [["caf", "it", "s", "b"], [], []]

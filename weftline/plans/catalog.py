@@ -277,7 +277,7 @@ def ppmi(spark, sf):
 @query(f"""WITH {q.TOKENS}, s AS (SELECT pos, {" || ' ' || ".join(f"coalesce(lead(token, {k}) OVER (ORDER BY pos), '')" if k else "token" for k in range(4))} AS suffix FROM tok)
 SELECT pos, dense_rank() OVER (ORDER BY suffix) AS rank FROM s""")
 def suffix_ranks(spark, sf):
-    return ngrams.suffix_ranks(_stream(spark, sf), 2)
+    return ngrams.suffix_ranks(_stream(spark, sf))
 
 
 @query(f"""WITH {q.TOKENS}, {q.parts('tok')}, v AS (SELECT DISTINCT token FROM train), u AS (SELECT v.token, count(t.token) AS x FROM v LEFT JOIN test t ON t.token = v.token GROUP BY 1),
