@@ -169,6 +169,26 @@ def test_one_of_each_class(spark):
     assert jaccard.linked(frame(spark, [])).count() == 0 and jaccard.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [
+        (1, a), (5, near(a)), (5, b),  # b shares its id with a copy of a
+        (6, c), (6, d),  # clean texts under one id
+        (None, near(c)),  # a copy of a text with an id
+        (None, e), (None, near(e)), (None, near(e)),  # copies without ids
+        (None, None), (None, None), (None, ""), (None, "..."), (7, ""), (7, ""),  # without links
+        (8, f), (8, f), (9, f), (8, near(f)),
+    ]
+    got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect())
+    either = [x for x in ((None, e), (None, near(e))) if x in got]
+    last = [x for x in ((8, f), (8, near(f))) if x in got]
+    assert len(either) == len(last) == 1
+    assert got == Counter([(1, a), (5, b), (6, c), (6, d), (None, None), (None, None), (None, ""), (None, "..."), (7, ""), (7, ""), *either, *last])
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 420)] + [(500, k) for k in range(501, 560)] + [(7, 7)]

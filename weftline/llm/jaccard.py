@@ -279,8 +279,8 @@ def token_sets(docs: DataFrame, text_col: str, keep: list[str], words: int) -> D
     return map_texts(docs, text_col, keep, [T.StructField("tokens", T.BinaryType())], make)
 
 
-def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """doc_id (as `id_col`), class_id, n_links and n_copies of each row of docs."""
+def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """id, mark (a hash of the text), root (names the row's class; null without links), class_id, links and copies of each row of docs."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     rows = checkpointed(sketched(src, "text", ["id", "mark"], words))
     sets = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark")).alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")))
@@ -307,11 +307,16 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", word
     info = sets.where("copies > 1").select("key").unionByName(joined.select("key")).distinct().join(sets.select("key", "low", "copies"), "key")
     info = info.join(joined, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = info.groupBy("root").agg(F.min("low").alias("class_id"))
-    info = info.join(classes, "root").select("key", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    info = info.join(classes, "root").select("key", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     # a set may have any number of documents: their rows are salted, the few figures of each set are repeated
     info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.select("id", "key", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(info, ["key", "salt"], "left").select(
+    rows = rows.select("id", "mark", "key", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(info, ["key", "salt"], "left").select("id", "mark", "root", "class_id", "links", "copies")
+
+
+def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """doc_id (as `id_col`), class_id, n_links and n_copies of each row of docs."""
+    return marked(docs, text_col, id_col, words).select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
@@ -324,15 +329,15 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of which each class keeps one: that with the smallest doc_id.
+    """The documents, with all their columns, of which each class keeps one row: that with the smallest doc_id.
 
-    Of several rows with that id one stays, the one whose text has the smallest digest. Rows without an id can't be named
-    by a class: of those with equal texts one stays.
+    Rows without an id come last, then the smallest digest of the text decides. Rows without links stay as they are, whatever
+    ids they share: a class is one of rows, which are found by id and text.
     """
     names = docs.columns
-    drop = linked(docs).where("n_links > 0 AND doc_id <> class_id").select("doc_id").distinct()
+    of = checkpointed(marked(docs).where("root IS NOT NULL").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"), F.xxhash64(*names).alias("h"))
-    known = docs.where("doc_id IS NOT NULL").join(drop, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(row, order).alias("__r"))
-    unknown = docs.where("doc_id IS NULL").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min_by(row, F.xxhash64(*names)).alias("__r"))
-    return known.select("__r.*").unionByName(unknown.select("__r.*"))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.sha2("text", 256).alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h"))
+    kept = docs.join(of, same).groupBy("__root").agg(F.min_by(row, order).alias("__r")).select("__r.*")
+    return docs.join(of, same, "left_anti").unionByName(kept)
