@@ -348,3 +348,22 @@ def test_licenses(spark):
     assert [got[i].license for i in range(11)] == [None, None, None, "mit", "mit", "mit-permission", "mit-permission", "mit-permission", None, "cc-by-nc-4.0", "apache-2.0"]
     assert got[3].dice == 1 and 0.8 <= got[7].dice < 1 and got[9].licenses == "cc-by-nc-4.0,mit"
     assert licenses.op7(frame(spark, [])).count() == 0
+
+
+def test_embedded_license_statements(spark):
+    isc, gpl = licenses.TEMPLATES["isc-permission"], licenses.TEMPLATES["gpl-3.0"]
+    wrapped = "Some words go ahead of it. This code is licensed, as we said, Licensed under the\nApache License, Version 2.0. More words\nfollow in the paragraph."
+    rows = [
+        (0, "This project is released under the MIT License. See LICENSE for details."),
+        (1, wrapped),
+        (2, "".join(f"int v{i}; " for i in range(40)) + " ".join(isc.split()) + " int main(void) { return a; } int b;"),
+        (3, "We say: " + gpl.replace("This work", "This code") + " Read on for many other things that are told here."),
+        (4, "The license of the public source, under a general release."),
+        (5, "We say: released under the BSD terms, or the MIT term paper, and so on and so on."),
+        (6, "A is released under the MIT License and B is licensed under CC BY-SA 4.0 and that is all of it."),
+        (7, "Released under the MIT License.\nAgain it is released under the MIT License, as we said."),
+    ]
+    got = {r.doc_id: r for r in licenses.op7(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert [got[i].licenses for i in range(8)] == ["mit", "apache-2.0", "isc-permission", "gpl-2.0,gpl-3.0", "", "", "cc-by-sa-4.0,mit", "mit"]
+    assert got[0].dice == got[1].dice == got[2].dice == 1 and got[3].license == "gpl-3.0" and 0.8 <= got[3].dice < 1
+    assert got[6].n_matches == 2 and got[7].n_matches == 1
