@@ -367,3 +367,10 @@ def test_embedded_license_statements(spark):
     assert [got[i].licenses for i in range(8)] == ["mit", "apache-2.0", "isc-permission", "gpl-2.0,gpl-3.0", "", "", "cc-by-sa-4.0,mit", "mit"]
     assert got[0].dice == got[1].dice == got[2].dice == 1 and got[3].license == "gpl-3.0" and 0.8 <= got[3].dice < 1
     assert got[6].n_matches == 2 and got[7].n_matches == 1
+
+
+def test_long_repetitive_text_against_brute_force(spark):
+    text = "Released under the MIT License. " * 200  # one line: longer than the SQL compares
+    a, b = set(licenses.bigrams(text)), set(licenses.bigrams(licenses.TEMPLATES["mit"]))
+    (got,) = licenses.op7(frame(spark, [(1, text, "en", "s")])).collect()
+    assert (got.license, got.dice, got.n_matches) == ("mit", round(2 * len(a & b) / (len(a) + len(b)), 6), 1) and len(text) > 3000
