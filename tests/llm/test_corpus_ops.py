@@ -149,15 +149,33 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("small", [512, 4])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block"), [(1024, 1024), (4, 1024), (4, 5), (1024, 2)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, small, block):
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_rows()
     df = frame(spark, [(d, t, "en", "s") for d, t in rows], "key", "sig", "id", "class_id")
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.linked(df).collect())
     assert got == brute(rows)
 
 
+def test_places_in_buckets_are_bounded(spark):
+    """A large group of near copies has the paths of three levels each, and no more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(80)]
+    texts = []
+    for _ in range(10_000):
+        w = list(base)
+        w[rng.randrange(80)] = word()
+        texts.append(" ".join(w))
+    sets = jaccard.sketched(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), "text", ["doc_id"]).dropDuplicates(["key"])
+    small, edges = jaccard.buckets(sets)
+    assert small.count() + edges.count() <= sum(map(jaccard.runs_of, range(1, jaccard.LEVELS + 1))) * 10_000
+    found = small.groupBy("path").count()
+    assert found.where(found["count"] > jaccard.SMALL).isEmpty() and edges.count() > 10_000
+
+
 def test_one_of_each_class(spark):
     rows = near_rows()
     df = frame(spark, [(d, t, "en", "s") for d, t in rows], "key")

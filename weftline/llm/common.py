@@ -29,14 +29,38 @@ def learnable(id_col: str) -> Column:
     return F.coalesce(remainder(id_col) != 0, F.lit(False))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named in spark.checkpoint.dir (a folder of this process if unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Unset, a folder of this process will do in local mode; a cluster has to name one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="weftline-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder. Spark deletes the files behind it with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, *taken: list[str]) -> str:
+    """`name` with as many underscores before it as keep it apart from all names taken, in any case of letters."""
+    have = {c.lower() for names in taken for c in names}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,12 +91,13 @@ def map_texts(
 ) -> DataFrame:
     """Columns of `keep` beside those that `make()(texts)` computes, batch by batch, without a shuffle.
 
-    `make` runs once per task; its function gets about `most` bytes of text at a time. Of a kept column and a computed one of the same name, the computed one stays.
-    Texts reach the function as a string array that may hold nulls.
+    `make` runs once per task; its function gets about `most` bytes of text at a time, as a string array that may hold
+    nulls. A kept column that is named as a computed one is left out: the result has the computed one. A table without rows
+    gives none.
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused("__text", keep, new)))
     schema = T.StructType([*src.schema.fields[:-1], *fields])
     at, names = len(keep), [f.name for f in schema.fields]
 

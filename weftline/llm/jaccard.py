@@ -5,21 +5,28 @@ four words is one shingle). Two texts are linked if their sets' Jaccard similari
 
 1. Each distinct set gets a signature of 64 sampled tokens (its smallest under 64 orders): of sets with similarity J
    any one agrees with probability J. Equal sets are one set from here on.
-2. Chosen paths: a run sends each set down the branch that its sampled token names. ``RUNS`` runs are repeated, so many
-   that a pair at the threshold stays apart in all of them with probability (1 - 0.8)^RUNS < 1 - RECALL. A bucket of more
-   than ``SMALL`` sets is split again on fresh tokens, with as many branches each, as long as splitting parts it; sets that
-   no token parts are near copies of each other and are compared in blocks of ``SMALL``. So no bucket is capped.
-3. Small buckets are compared by brute force on signatures, which drops a pair only if it agrees in under half of the
-   64 places (below 1e-7 at J = 0.8). What is left joins sets into candidate components.
-4. In each candidate component every pair is compared exactly, on the whole sets, in blocks bounded in sets and
-   shingles. So a link is lost only if no path of candidates joins its ends; links are counted where they are found and
-   never written out as pairs.
+2. Chosen paths: a run sends each set down the branch that its sampled token names, and runs are independent of each
+   other. There are so many that a pair at the threshold stays apart in all of them with probability under 1 - RECALL: 6
+   runs of one token. Sets that met more than ``SMALL`` others in a bucket go on to 10 fresh runs of two tokens each, and
+   those that still did to 13 of three. So a set has at most 29 places in buckets, whatever groups there are.
+3. Buckets of at most ``SMALL`` sets are compared by brute force on signatures, which drops a pair only if it agrees in
+   under ``AGREE`` of the 64 places (4e-6 at J = 0.8). A bucket that is still larger after the last level holds sets that
+   share three sampled tokens: all of it is joined to its first set, without a comparison. What is joined makes candidate
+   components.
+4. In each candidate component all pairs are decided exactly, on the whole sets. A component of up to ``BLOCK`` sets is one
+   task's group. In a larger one each set's distance to a medoid is computed first. With D the number of tokens in which a
+   set x differs from the medoid, two sets are linked for certain if 9 (D_x + D_y) <= |x| + |y|, and unlinked for certain
+   if 9 |D_x - D_y| > |x| + |y| (the triangle inequality on the sets' differences). Sets are dealt into blocks by D, block
+   pairs that these bounds decide are counted without a look at their sets, and only the others are compared, one block
+   pair at a time. So a link is lost only if no path of candidates joins its ends; links are counted where they are found
+   and never written out as pairs. What the bounds leave of a component of m sets costs up to m / BLOCK copies of its sets.
 
 Result: one row for each document with ``class_id`` (the smallest doc_id that its links reach), ``n_links`` (documents
 linked to it, equal texts included) and ``n_copies`` (documents with the same set, itself included).
 
 Defined cases: a null or empty text, or one without a word, has no links and its own id as class; rows that repeat count
-as copies; a null id never names a class, but takes part; texts of any length are compared whole.
+as copies; a null id never names a class, but takes part; texts of any length are compared whole; an empty table gives no
+rows; other columns, whatever their names, play no part in the join and come back unchanged from ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -31,19 +38,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, whole_row
 from .components import components
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.9999
-PLACES = 64
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST))
-SMALL = 512
-SHINGLES = 4_000_000  # in a block of exact comparisons, but for a single larger set
-SALTS = 16
+PLACES, AGREE = 64, 36
+LEVELS = 3
+SMALL, BLOCK = 1024, 1024  # sets in a bucket that is compared by brute force, and in a block of exact comparisons
+SHINGLES = 1_000_000  # in a block of exact comparisons, but for a single larger set
+TRIED = 256  # sets of a large component that its medoid is chosen among
 
 _A = (np.random.default_rng(11).integers(1, 2**32, PLACES, dtype=np.uint64) | 1).astype(np.uint32)
 _B = np.random.default_rng(12).integers(0, 2**32, PLACES, dtype=np.uint64).astype(np.uint32)
@@ -123,39 +130,35 @@ def sketched(docs: DataFrame, text_col: str, keep: list[str], words: int = WORDS
     return map_texts(docs, text_col, keep, FIELDS, make)
 
 
-def _branches(level: int) -> Column:
-    """The branches that a set takes at a level, from places of its signature that no level before has used."""
-    runs = [(level * RUNS + r) % PLACES for r in range(RUNS)]
-    return F.array(*[F.xxhash64(F.col("path"), F.lit(level * RUNS + r), F.element_at("sig", k + 1)) for r, k in enumerate(runs)])
-
-
-def buckets(sets: DataFrame) -> DataFrame:
-    """path, size, key of the small buckets, and of larger ones that no token parts; sets that are alone are gone."""
-    at = sets.select("key", F.lit(0).cast("long").alias("path"), F.lit(2**62).cast("long").alias("size"))
-    done: list[DataFrame] = []
-    level = 0
-    while True:
-        rows = at.withColumnRenamed("size", "before").join(sets.select("key", "sig"), "key").select("key", "before", F.explode(_branches(level)).alias("path"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        rows = checkpointed(rows.join(sizes, "path").select("path", "size", "before", "key"))
-        stays = (F.col("size") <= SMALL) | (F.col("size") * 2 > F.col("before")) | F.lit((level + 2) * RUNS > PLACES)
-        done.append(rows.where(stays).select("path", "size", "key"))
-        at = rows.where(~stays).select("key", "path", "size")
-        level += 1
-        if at.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+def runs_of(depth: int) -> int:
+    """Runs of so many tokens each after which a pair at the threshold has met with probability RECALL."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST**depth))
+
 
+def _paths(depth: int) -> Column:
+    """The bucket of a set in each run of a level; levels take tokens that the ones before have not used, as far as there are."""
+    first = sum(d * runs_of(d) for d in range(1, depth))
+    token = lambda i: F.element_at("sig", (first + i) % PLACES + 1)
+    return F.array(*[F.xxhash64(F.lit(depth), F.lit(r), *[token(r * depth + i) for i in range(depth)]) for r in range(runs_of(depth))])
 
-def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
-    """Rows repeated for each pair of blocks of their group: group, i, j (i <= j) and own (the row's block)."""
-    own = F.pmod(F.xxhash64("key"), F.col("__blocks"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)
-    out = rows.withColumn("__blocks", blocks.cast("long")).withColumn("own", own).withColumn("other", F.explode(others))
-    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "__blocks")
+
+def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, key) of the small buckets, and edges (a, b) that join what is left in large ones; sets that are alone are gone."""
+    small: list[DataFrame] = []
+    at = sets.select("key", "sig")
+    for depth in range(1, LEVELS + 1):
+        rows = at.select("key", F.explode(_paths(depth)).alias("path"))
+        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("low")).where("size > 1"))
+        rows = checkpointed(rows.join(sizes, "path").select("path", "size", "low", "key"))
+        small.append(rows.where(F.col("size") <= SMALL).select("path", "key"))
+        large = rows.where(F.col("size") > SMALL)
+        if depth == LEVELS or large.isEmpty():
+            break
+        at = sets.select("key", "sig").join(large.select("key").distinct(), "key")
+    out = small[0]
+    for s in small[1:]:
+        out = out.unionByName(s)
+    return out, large.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
 
 
 def by_group(rows: DataFrame, keys: list[str], cols: list[str], schema: T.StructType, fn) -> DataFrame:
@@ -216,22 +219,36 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def agreeing(sig: np.ndarray) -> np.ndarray:
+    """In how many places any two signatures agree."""
+    if len(sig) <= 32:
+        return (sig[:, None] == sig[None]).sum(2)
+    agree = np.zeros((len(sig), len(sig)), np.int16)
+    for k in range(PLACES):
+        agree += sig[:, k, None] == sig[None, :, k]
+    return agree
+
+
+def _signatures(g: dict[str, pa.Array]) -> np.ndarray:
+    return g["sig"].flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACES)
+
+
 def similar_signatures(g: dict[str, pa.Array]) -> list[tuple[bytes, bytes]]:
-    """Edges that join the sets of one bucket that agree in half of the places."""
+    """Edges that join the sets of one bucket that agree in enough places."""
     key = g["key"].to_pylist()
-    sig = g["sig"].flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACES)
     n = g["n"].to_numpy(zero_copy_only=False).astype(np.float64)
-    agree = np.zeros((len(key), len(key)), np.int16)
-    if len(key) <= 32:
-        agree = (sig[:, None] == sig[None]).sum(2)
-    else:
-        for k in range(PLACES):
-            agree += sig[:, k, None] == sig[None, :, k]
-    near = (agree * 2 >= PLACES) & (np.minimum(n[:, None], n) >= LEAST * np.maximum(n[:, None], n))
+    near = (agreeing(_signatures(g)) >= AGREE) & (np.minimum(n[:, None], n) >= LEAST * np.maximum(n[:, None], n))
     np.fill_diagonal(near, False)
     return [(key[a], key[b]) for a, b in forest(near)]
 
 
+def central(g: dict[str, pa.Array]) -> list[tuple[bytes, bytes]]:
+    """(root, key) of the set whose signature agrees best with the others' of the group."""
+    key = g["key"].to_pylist()
+    total = agreeing(_signatures(g)).astype(np.int64).sum(1)
+    return [(g["root"][0].as_py(), min(zip((-total).tolist(), key, strict=True))[1])]
+
+
 def exact_links(g: dict[str, pa.Array]) -> list[tuple[bytes, bytes, int]]:
     """Links between the sets of two blocks (or within one): (set, set it reaches, documents linked to it here)."""
     key, own, copies = g["key"].to_pylist(), g["own"].to_numpy(zero_copy_only=False), g["copies"].to_numpy(zero_copy_only=False)
@@ -247,7 +264,7 @@ def exact_links(g: dict[str, pa.Array]) -> list[tuple[bytes, bytes, int]]:
     both = np.zeros((m, m), np.float32)
     order = np.argsort(ids, kind="stable")
     ids, doc = ids[order], doc[order]
-    width = max(64, min(8192, 16_000_000 // max(1, m)))
+    width = max(64, min(8192, 4_000_000 // max(1, m)))
     at = 0
     while at < len(ids):
         stop = int(np.searchsorted(ids, ids[at] + width))
@@ -279,39 +296,94 @@ def token_sets(docs: DataFrame, text_col: str, keep: list[str], words: int) -> D
     return map_texts(docs, text_col, keep, [T.StructField("tokens", T.BinaryType())], make)
 
 
+PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+TRIPLE = T.StructType([*PAIR.fields, T.StructField("links", T.LongType())])
+GROUP = ["key", "own", "i", "j", "n", "copies", "tokens"]
+
+
+def distances(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and d: the number of tokens that are in one only of the sets `tokens` and `middle`."""
+    src = rows.select(*keep, "tokens", "middle")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (map(lambda x: np.frombuffer(x.as_buffer(), np.uint64), b.column(k)) for k in (len(keep), len(keep) + 1))
+            d = [len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(d, pa.int64())], names=[*keep, "d"])
+
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(keep)], T.StructField("d", T.LongType())]))
+
+
+def large_components(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links of TRIPLE within components of more than a block of sets: rows of (root, key, n, copies, tokens)."""
+    # a medoid: of a bounded number of sets, the one that agrees best with the others
+    order = Window.partitionBy("root").orderBy(F.xxhash64("key"), "key")
+    tried = large.select("root", "key").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRIED)
+    one = by_group(tried.join(sets.select("key", "sig"), "key"), ["root"], ["root", "key", "sig"], PAIR, central)
+    middle = checkpointed(one.select(F.col("b").alias("key")).join(large, "key").select("root", F.col("tokens").alias("middle")))
+    at = checkpointed(distances(large.join(middle, "root"), ["root", "key", "n", "copies"]))
+    # blocks in the order of d: the place of a set is the weight of those nearer, and a hash among those as near
+    weight = F.lit(1.0 / BLOCK) + F.col("n") / F.lit(float(SHINGLES))
+    near = at.groupBy("root", "d").agg(F.sum(weight).alias("w"))
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("root").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    near = checkpointed(near.withColumn("first", before))
+    place = F.col("first") + F.col("w") * F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(2.0**53)
+    at = checkpointed(at.join(near, ["root", "d"]).select("root", "key", "n", "copies", "d", F.floor(place).alias("own")))
+    per = checkpointed(at.groupBy("root", "own").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum("copies").alias("all"), F.min("key").alias("low")))
+    x, y = (per.select("root", *[F.col(c).alias(f"{c}_{t}") for c in per.columns if c != "root"]) for t in "xy")
+    pairs = x.join(y, "root")  # blocks, not sets
+    gap = F.greatest(F.col("d0_y") - F.col("d1_x"), F.col("d0_x") - F.col("d1_y"), F.lit(0))
+    pairs = pairs.withColumn("sure", 9 * (F.col("d1_x") + F.col("d1_y")) <= F.col("n0_x") + F.col("n0_y"))
+    pairs = checkpointed(pairs.where(F.col("sure") | (9 * gap <= F.col("n1_x") + F.col("n1_y"))))
+    # block pairs that are linked for certain: each set has the other block's documents, and an edge to its first set
+    sure = pairs.where("sure").groupBy("root", F.col("own_x").alias("own")).agg(F.sum("all_y").alias("more"), F.min("low_y").alias("hub"), F.max(F.col("own_x") == F.col("own_y")).alias("self"))
+    mine = at.join(checkpointed(sure), ["root", "own"])
+    counted = mine.select(F.col("key").alias("a"), F.col("key").alias("b"), (F.col("more") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("links"))
+    tied = mine.select(F.col("key").alias("a"), F.col("hub").alias("b"), F.lit(0).cast("long").alias("links"))
+    blocks = pairs.where("sure").select(F.col("low_x").alias("a"), F.col("low_y").alias("b"), F.lit(0).cast("long").alias("links"))
+    # the others are compared
+    need = pairs.where("NOT sure").select("root", F.col("own_x").alias("own"), F.least("own_x", "own_y").alias("i"), F.greatest("own_x", "own_y").alias("j")).distinct()
+    rows = large.select("key", "tokens").join(at, "key").join(need, ["root", "own"])
+    return by_group(rows, ["root", "i", "j"], GROUP, TRIPLE, exact_links).unionByName(counted).unionByName(tied.unionByName(blocks).where("a <> b"))
+
+
 def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
     """id, mark (a hash of the text), root (names the row's class; null without links), class_id, links and copies of each row of docs."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     rows = checkpointed(sketched(src, "text", ["id", "mark"], words))
     sets = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark")).alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")))
 
-    found = buckets(sets).join(sets.select("key", "n", "sig"), "key")
-    found = in_blocks(found, "path", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / SMALL)))
-    pair = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    maybe = components(by_group(found, ["path", "i", "j"], ["key", "n", "sig"], pair, similar_signatures))
+    found, edges = buckets(sets)
+    found = by_group(found.join(sets.select("key", "n", "sig"), "key"), ["path"], ["key", "n", "sig"], PAIR, similar_signatures)
+    maybe = components(found.unionByName(edges))
 
     # the whole sets of those in a candidate component, from one text of each
     members = checkpointed(maybe.withColumnRenamed("node", "key").join(sets.select("key", "n", "copies", "rep"), "key"))
     want = members.select("key", F.col("rep.id").alias("rid"), F.col("rep.mark").alias("rmark"))
     texts = src.join(want, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).groupBy("key").agg(F.first("text").alias("text"))
     tokens = token_sets(texts, "text", ["key"], words)
-    per = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    whole = members.join(tokens, "key").join(per, "root").drop("rep")
-    blocks = F.greatest(F.ceil(F.col("m") / SMALL), F.ceil(F.col("total") / SHINGLES), F.lit(1))
-    whole = in_blocks(whole, "root", blocks)
-    triple = T.StructType([*pair.fields, T.StructField("links", T.LongType())])
-    links = checkpointed(by_group(whole, ["root", "i", "j"], ["key", "own", "i", "j", "n", "copies", "tokens"], triple, exact_links))
+    per = checkpointed(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")))
+    big = (F.col("m") > BLOCK) | (F.col("total") > SHINGLES) & (F.col("m") > 1)
+    whole = checkpointed(members.join(tokens, "key").join(per.select("root", big.alias("big")), "root").drop("rep"))
+    zero = F.lit(0).cast("long")
+    few = whole.where("NOT big").withColumns({"own": zero, "i": zero, "j": zero})
+    links = by_group(few, ["root"], GROUP, TRIPLE, exact_links)
+    large = whole.where("big").drop("big")
+    if not large.isEmpty():
+        links = links.unionByName(large_components(large, sets))
+    links = checkpointed(links)
 
     degree = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     joined = components(links.where("a <> b").select("a", "b")).withColumnRenamed("node", "key")
     info = sets.where("copies > 1").select("key").unionByName(joined.select("key")).distinct().join(sets.select("key", "low", "copies"), "key")
     info = info.join(joined, "key", "left").join(degree, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = info.groupBy("root").agg(F.min("low").alias("class_id"))
-    info = info.join(classes, "root").select("key", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    # a set may have any number of documents: their rows are salted, the few figures of each set are repeated
-    info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.select("id", "mark", "key", F.pmod(F.xxhash64("id", "mark"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(info, ["key", "salt"], "left").select("id", "mark", "root", "class_id", "links", "copies")
+    classes = checkpointed(info.groupBy("root").agg(F.min("low").alias("class_id")))
+    info = checkpointed(info.join(classes, "root").select("key", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    # a set may have any number of documents: the join is between two plain exchanges, so its partition can be split
+    cols = ["id", "mark", "root", "class_id", "links", "copies"]
+    got = rows.where("key IS NOT NULL").select("id", "mark", "key").join(info, "key", "left").select(*cols)
+    none = {"root": "binary", "class_id": "long", "links": "long", "copies": "long"}
+    return got.unionByName(rows.where("key IS NULL").select("id", "mark", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
 
 
 def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -331,13 +403,16 @@ def op3(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which each class keeps one row: that with the smallest doc_id.
 
-    Rows without an id come last, then the smallest digest of the text decides. Rows without links stay as they are, whatever
-    ids they share: a class is one of rows, which are found by id and text.
+    Rows without an id come last, then the smallest hash of the text decides. Rows without links stay as they are, whatever
+    ids they share: a class is one of rows, which are found by id and text. Defined cases: see ``linked``; equal rows of a
+    class count as one; extra columns stay, whatever their names; an empty table stays empty.
     """
-    names = docs.columns
-    of = checkpointed(marked(docs).where("root IS NOT NULL").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("i"), F.sha2("text", 256).alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h"))
-    kept = docs.join(of, same).groupBy("__root").agg(F.min_by(row, order).alias("__r")).select("__r.*")
-    return docs.join(of, same, "left_anti").unionByName(kept)
+    of = marked(docs).where("root IS NOT NULL").select("id", "mark", "root").distinct()
+    of = checkpointed(of)
+    best = checkpointed(of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark")).alias("best")))
+    of = checkpointed(of.join(best, "root").select(F.col("id").alias("i"), F.col("mark").alias("m"), "root", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))).alias("stays")))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    rows = docs.select(whole_row(docs).alias("row"), hashed.alias("h"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    rows = rows.join(of, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    kept = rows.where("stays").groupBy("root").agg(F.min_by("row", "h").alias("row"))
+    return rows.where("root IS NULL").select("row.*").unionByName(kept.select("row.*"))
