@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HELD_OUT_MOD = 5
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20  # of an Arrow batch, where Spark's own bound is larger
+SLOTS = 1 << 20
 
 
 def remainder(id_col: str) -> Column:
@@ -61,6 +63,19 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def slots_of(keys: DataFrame, key: str) -> DataFrame:
+    """slot: the distinct remainders of hashed keys, to be broadcast. There are at most SLOTS, however many keys there are."""
+    return F.broadcast(keys.select(F.pmod(F.col(key), F.lit(SLOTS)).alias("slot")).distinct())
+
+
+def in_slots(rows: DataFrame, key: str, slots: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose hashed key may be among those that made the slots, or those whose key can't be.
+
+    It spares a join most rows that would find no partner; with very many keys it spares fewer, and nothing else changes.
+    """
+    return rows.join(slots, F.pmod(F.col(key), F.lit(SLOTS)) == F.col("slot"), "left_semi" if inside else "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,6 +110,9 @@ def map_texts(
     nulls. A kept column that is named as a computed one is left out: the result has the computed one. A table without rows
     gives none.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b").removesuffix("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(unused("__text", keep, new)))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_texts, whole_row
+from .common import checkpointed, in_slots, map_texts, slots_of, whole_row
 from .components import components
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.9999
@@ -154,7 +154,9 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = rows.where(F.col("size") > SMALL)
         if depth == LEVELS or large.isEmpty():
             break
-        at = sets.select("key", "sig").join(large.select("key").distinct(), "key")
+        left = checkpointed(large.select("key").distinct())
+        at = sets.select("key", "sig", F.xxhash64("key").alias("h"))
+        at = in_slots(at, "h", slots_of(left.select(F.xxhash64("key").alias("h")), "h")).join(left, "key")
     out = small[0]
     for s in small[1:]:
         out = out.unionByName(s)
@@ -349,9 +351,11 @@ def large_components(large: DataFrame, sets: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
     """id, mark (a hash of the text), root (names the row's class; null without links), class_id, links and copies of each row of docs."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    rows = checkpointed(sketched(src, "text", ["id", "mark"], words))
-    sets = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark")).alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), row.alias("h"), F.col(text_col).alias("text"))
+    rows = checkpointed(sketched(src, "text", ["id", "mark", "h"], words))
+    rep = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark", "h"))
+    sets = checkpointed(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), rep.alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies")))
 
     found, edges = buckets(sets)
     found = by_group(found.join(sets.select("key", "n", "sig"), "key"), ["path"], ["key", "n", "sig"], PAIR, similar_signatures)
@@ -359,18 +363,21 @@ def marked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", word
 
     # the whole sets of those in a candidate component, from one text of each
     members = checkpointed(maybe.withColumnRenamed("node", "key").join(sets.select("key", "n", "copies", "rep"), "key"))
-    want = members.select("key", F.col("rep.id").alias("rid"), F.col("rep.mark").alias("rmark"))
-    texts = src.join(want, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).groupBy("key").agg(F.first("text").alias("text"))
-    tokens = token_sets(texts, "text", ["key"], words)
-    per = checkpointed(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")))
     big = (F.col("m") > BLOCK) | (F.col("total") > SHINGLES) & (F.col("m") > 1)
-    whole = checkpointed(members.join(tokens, "key").join(per.select("root", big.alias("big")), "root").drop("rep"))
+    per = checkpointed(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).select("root", big.alias("big")))
+    want = checkpointed(members.join(per, "root").select("key", "root", "n", "copies", "big", F.col("rep.id").alias("rid"), F.col("rep.mark").alias("rmark"), F.col("rep.h").alias("rh")))
+
+    def whole(part: DataFrame) -> DataFrame:
+        """The sets of some components: key, root, n, copies, tokens."""
+        texts = in_slots(src, "h", slots_of(part, "rh")).join(part, (F.col("h") == F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")))
+        cols = ["root", "n", "copies"]
+        texts = texts.groupBy("h", "key").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in cols])  # equal rows
+        return token_sets(texts, "text", ["key", *cols], words)
+
     zero = F.lit(0).cast("long")
-    few = whole.where("NOT big").withColumns({"own": zero, "i": zero, "j": zero})
-    links = by_group(few, ["root"], GROUP, TRIPLE, exact_links)
-    large = whole.where("big").drop("big")
-    if not large.isEmpty():
-        links = links.unionByName(large_components(large, sets))
+    links = by_group(whole(want.where("NOT big")).withColumns({"own": zero, "i": zero, "j": zero}), ["root"], GROUP, TRIPLE, exact_links)
+    if not per.where("big").isEmpty():
+        links = links.unionByName(large_components(checkpointed(whole(want.where("big"))), sets))
     links = checkpointed(links)
 
     degree = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
@@ -410,9 +417,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of = marked(docs).where("root IS NOT NULL").select("id", "mark", "root").distinct()
     of = checkpointed(of)
     best = checkpointed(of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "mark")).alias("best")))
-    of = checkpointed(of.join(best, "root").select(F.col("id").alias("i"), F.col("mark").alias("m"), "root", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))).alias("stays")))
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
-    rows = docs.select(whole_row(docs).alias("row"), hashed.alias("h"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    rows = rows.join(of, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
-    kept = rows.where("stays").groupBy("root").agg(F.min_by("row", "h").alias("row"))
-    return rows.where("root IS NULL").select("row.*").unionByName(kept.select("row.*"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    of = checkpointed(of.join(best, "root").select(F.xxhash64("id", "mark").alias("k"), F.col("id").alias("i"), F.col("mark").alias("m"), "root", stays.alias("stays")))
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    rows = docs.select(whole_row(docs).alias("row"), order.alias("order"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    rows = rows.withColumn("h", F.xxhash64("id", "mark"))
+    slots = slots_of(of, "k")
+    found = in_slots(rows, "h", slots).join(of, (F.col("h") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    kept = found.where("stays").groupBy("root").agg(F.min_by("row", "order").alias("row"))
+    alone = in_slots(rows, "h", slots, inside=False).select("row.*").unionByName(found.where("root IS NULL").select("row.*"))
+    return alone.unionByName(kept.select("row.*"))
