@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame expressions only.
 
 Candidates are the matches of a few patterns. The hash of each candidate's value is aggregated over the corpus, by
-distinct owners and by distinct repositories of each owner: a value that many owners have is a copied example, one
-that a single or few owners have is a live-looking credential. The three base patterns always give spans. A fourth,
+distinct owners and by distinct repositories of each owner: a value that ``OWNERS`` owners or ``REPOS`` repositories have
+is a widely copied example, one that few owners have in few repositories is a live-looking credential. The three base patterns always give spans. A fourth,
 wider pattern (``token``: 20 or more letters, digits, ``_`` or ``-`` with a capital, a small letter and a digit) would
 take in many harmless strings; of its matches only the owner-specific ones outside base spans are added.
 
@@ -10,11 +10,13 @@ Offsets are code points, ends exclusive. Matches are leftmost and non-overlappin
 matches come from ``split`` and the matches from ``regexp_extract_all``, so their running lengths are the offsets.
 Capital and small letters are equal in ASCII only, as the pattern names ASCII words.
 
-Skew: each distinct text is scanned once; hashes are aggregated in three steps that combine before they shuffle; the
-joins on the text's digest are salted, so that a text or a secret with a third of all rows spreads over all tasks.
+Skew: each distinct text is scanned once; hashes are aggregated in three steps that combine before they shuffle; joins on
+a text's or a value's hash stand between two plain exchanges, one of them of written rows, so that adaptive execution
+splits the partition of a text or a secret with a third of all rows.
 
 Defined cases: null texts count as empty; a null owner or repository counts as one of its own; repeated rows get equal
-rows and count once; a text of any length is scanned whole.
+rows and count once; of kinds that begin at one place the order is that of KINDS; a text of any length is scanned whole;
+an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, whole_row
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -37,8 +39,7 @@ MAY = {
     "hex": r"[0-9a-f]{16,}",
     "token": TOKEN,
 }
-OWNERS = 3  # a value that so many owners have, or more, is a copied example
-SALTS = 16
+OWNERS, REPOS = 3, 20  # a value that so many owners have, or more, or so many repositories, is a copied example
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -86,34 +87,28 @@ def spans(texts: DataFrame, text_col: str = "text", key: str = "digest") -> Data
     return rows.withColumn("__keep", base | free).where("__keep").drop("__keep").withColumn("hash", F.sha2("value", 256))
 
 
-def ownership(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """hash, n_owners, n_repos, live: from rows of (hash, owner, repo); each step combines before it shuffles."""
+def ownership(found: DataFrame, owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """hash, n_owners, n_repos, live: from rows of (hash, owner, repo); each step combines before it shuffles.
+
+    Repositories are counted by owner: two owners' repositories of one name are two.
+    """
     once = found.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("__one"))
     by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")).withColumn("live", F.col("n_owners") < owners)
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _salt(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+    got = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    return got.withColumn("live", (F.col("n_owners") < owners) & (F.col("n_repos") < repos))
 
 
-def found_in(cand: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """digest, kind, start, end, value, live of all spans: base ones, and wider ones that are owner-specific.
+def found_in(cand: DataFrame, owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """digest, kind, start, end, value, n_owners, n_repos, live of all spans: base ones, and wider ones that are owner-specific.
 
     cand: digest, text, owner, repo of the documents that may hold a match.
     """
     texts = cand.groupBy("digest").agg(F.first("text").alias("text"))
     own = checkpointed(spans(texts))
-    docs = cand.select("digest", "owner", "repo").withColumn("salt", _salt("repo", "owner"))
-    pairs = docs.join(_salted(own.select("digest", "hash").distinct()), ["digest", "salt"]).select("hash", "owner", "repo")
-    stats = ownership(pairs, owners)
-    # a hash may be in many texts: their rows are salted, the few figures of each hash are repeated
-    rows = own.withColumn("salt", _salt("digest"))
-    return rows.join(_salted(stats), ["hash", "salt"], "left").where((F.col("kind") < KINDS.index("token")) | F.col("live")).drop("salt")
+    held = checkpointed(own.select("digest", "hash").distinct())
+    pairs = cand.select("digest", "owner", "repo").join(held, "digest").select("hash", "owner", "repo")
+    stats = checkpointed(ownership(pairs, owners, repos))
+    return own.join(stats, "hash", "left").where((F.col("kind") < KINDS.index("token")) | F.col("live"))
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -122,6 +117,8 @@ def described(found: DataFrame) -> DataFrame:
         *[F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(~F.col("live"), 1)).alias("n_example"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("most_repos"),
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__all"),
     )
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), s["start"], s["end"])
@@ -129,45 +126,65 @@ def described(found: DataFrame) -> DataFrame:
     return got.withColumns({"base": F.array_join(base, ","), "spans": F.array_join(F.transform("__all", name), ",")}).drop("__all")
 
 
-def candidates(docs: DataFrame, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """The documents that may hold a match: digest, text, owner, repo."""
-    return docs.where(may_hold(F.col(text_col))).select(F.sha2(F.col(text_col), 256).alias("digest"), F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"))
+def candidates(docs: DataFrame, text_col: str, owner_col: str, repo_col: str, id_col: str | None = None) -> DataFrame:
+    """The documents that may hold a match: digest, text, owner, repo (and id)."""
+    cols = {"text": text_col, "owner": owner_col, "repo": repo_col} | ({"id": id_col} if id_col else {})
+    return docs.where(may_hold(F.col(text_col))).select(F.sha2(F.col(text_col), 256).alias("digest"), *[F.col(c).alias(n) for n, c in cols.items()])
 
 
-def scanned(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", owners: int = OWNERS) -> DataFrame:
-    """One row for each row of docs: the id, counts of each kind, n_live, n_example, base_sha256 and spans."""
-    cand = checkpointed(candidates(docs, text_col, owner_col, repo_col))
-    got = _salted(described(found_in(cand, owners)))
-    cols = [*[f"n_{k}" for k in KINDS], "n_live", "n_example"]
-    with_any = cand.select(F.col("repo").alias("__id"), "digest") if repo_col == id_col else docs.where(may_hold(F.col(text_col))).select(F.col(id_col).alias("__id"), F.sha2(F.col(text_col), 256).alias("digest"))
-    with_any = with_any.withColumn("salt", _salt("__id")).join(got, ["digest", "salt"], "left")
-    none = docs.where(~may_hold(F.col(text_col))).select(F.col(id_col).alias("__id"))
+def scanned(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """One row for each row of docs: the id, counts of each kind, n_live, n_example, most_owners and most_repos (the largest
+    numbers of owners and repositories of a value in the text; 0 without a span), base_sha256 and spans."""
+    cand = checkpointed(candidates(docs, text_col, owner_col, repo_col, id_col))
+    got = checkpointed(described(found_in(cand, owners, repos)))
+    cols = [*[f"n_{k}" for k in KINDS], "n_live", "n_example", "most_owners", "most_repos"]
+    none = docs.where(~may_hold(F.col(text_col))).select(F.col(id_col).alias("id"))
     zero = {c: F.lit(0).cast("long") for c in cols} | {"base": F.lit(""), "spans": F.lit("")}
-    rows = with_any.select("__id", *[F.coalesce(F.col(c), z).alias(c) for c, z in zero.items()]).unionByName(none.withColumns(zero))
-    return rows.select(F.col("__id").alias(id_col), *cols, F.sha2("base", 256).alias("base_sha256"), "spans")
+    with_any = cand.select("id", "digest").join(got, "digest", "left")
+    rows = with_any.select("id", *[F.coalesce(F.col(c), z).alias(c) for c, z in zero.items()]).unionByName(none.withColumns(zero))
+    return rows.select(F.col("id").alias(id_col), *cols, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op2(docs: DataFrame) -> DataFrame:
     got = scanned(docs)
-    return got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token", "n_live", "n_example")
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token", "n_live", "n_example", "most_owners", "most_repos")
 
 
-def redacted(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[secret]", owners: int = OWNERS) -> DataFrame:
+def cut_out(text: Column, parts: Column, mark: str) -> Column:
+    """The text with each of the parts, an array of (a, b) in order, replaced by the mark; parts that overlap get one."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        ahead = F.concat(s["out"], text.substr(s["at"] + 1, p["a"] - s["at"]), F.lit(mark))
+        return F.struct(F.greatest(s["at"], p["b"]).alias("at"), F.when(p["a"] >= s["at"], ahead).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(parts, begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[secret]", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """The documents, with all their columns, with live-looking values replaced in `text` and `n_chars` set anew.
 
-    Copied examples stay. Longer values are replaced before shorter ones, which may be parts of them.
+    Values are cut out at their places: nothing else of the text changes, copied examples stay, and of a match only the
+    value goes, not the word before it. Defined cases: as above; rows whose text holds no live value come back as they are,
+    null texts too; columns of any names stay.
     """
-    names = docs.columns
     cand = checkpointed(candidates(docs, "text", owner_col, repo_col))
-    live = found_in(cand, owners).where("live").groupBy("digest").agg(F.collect_set("value").alias("__values"))
-    live = live.withColumn("__values", F.array_sort("__values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)))
-    held = docs.where(may_hold(F.col("text"))).withColumn("digest", F.sha2("text", 256)).withColumn("salt", _salt(repo_col))
-    held = held.join(_salted(live), ["digest", "salt"], "left")
-    text = F.when(F.col("__values").isNotNull(), F.aggregate(F.col("__values"), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col("text"))
-    held = held.withColumn("text", text)
-    if "n_chars" in names:
-        held = held.withColumn("n_chars", F.when(F.col("__values").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~may_hold(F.col("text"))).unionByName(held.select(*names))
+    part = F.struct((F.col("end") - F.length("value")).cast("int").alias("a"), F.col("end").cast("int").alias("b"))
+    live = checkpointed(found_in(cand, owners, repos).where("live").groupBy("digest").agg(F.array_sort(F.collect_set(part)).alias("parts")))
+    rows = docs.select(whole_row(docs).alias("row"))
+    held = rows.where(may_hold(F.col("row.text"))).withColumn("key", F.sha2("row.text", 256)).join(live, F.col("key") == F.col("digest"), "left")
+    text = F.when(F.col("parts").isNotNull(), cut_out(F.col("row.text"), F.col("parts"), mark)).otherwise(F.col("row.text"))
+    held = held.select("row", "parts", text.alias("new"))
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == "text":
+            return F.col("new").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("parts").isNotNull(), F.length("new")).otherwise(own).cast(docs.schema[c].dataType).alias(c)
+        return own.alias(c)
+
+    return docs.where(~may_hold(F.col("text"))).unionByName(held.select(*[column(c) for c in docs.columns]))
 
 
 SQL = r"""
@@ -187,14 +204,15 @@ k AS (SELECT doc_id, source, kind, val, CAST(stop - size AS BIGINT) AS start, CA
     AND (kind < 3 OR (regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')))),
 u AS (SELECT * FROM k WHERE kind < 3 UNION ALL
   SELECT a.* FROM k a WHERE a.kind = 3 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.kind < 3 AND b.doc_id = a.doc_id AND b.start < a.stop AND b.stop > a.start)),
-o AS (SELECT val, count(DISTINCT source) AS owners FROM u GROUP BY val),
-f AS (SELECT u.*, owners < 3 AS live FROM u JOIN o USING (val) WHERE kind < 3 OR owners < 3),
+o AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT struct_pack(a := coalesce(source, chr(0)), b := doc_id)) AS repos FROM u GROUP BY val),
+f AS (SELECT u.*, owners, repos, owners < 3 AND repos < 20 AS live FROM u JOIN o USING (val) WHERE kind < 3 OR (owners < 3 AND repos < 20)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_token,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS most_owners, max(repos) AS most_repos,
     string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
     string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'token' END || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
   FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN g USING (doc_id)
 """
