@@ -1,24 +1,28 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text's UTF-8 bytes are cut where a rolling hash of the last 16 bytes meets a mask, so that a passage is cut alike
-wherever it occurs. A chunk is encoded once in each worker and then taken from a bounded cache. A cut may fall inside
-a word; so a chunk holds the ids of what lies between its first and its last blank, and the two open ends as text.
-Each join is repaired by encoding the end before it together with the beginning after it, over further chunks until a
-blank closes the piece on either side. Blanks are where the tokenizer's own split can't be crossed (`blanks_split`
-checks the file for that), so after the repair the ids agree exactly with those of the whole text.
+wherever it occurs. A chunk is encoded once and then taken from a bounded cache of the worker, by a 128-bit digest of its
+bytes; the cache holds the chunks of some tens of megabytes of text. A cut may fall inside a word; so a chunk holds the
+ids of what lies between its first and its last blank, and the two open ends as text. Each join is repaired by encoding
+the end before it together with the beginning after it, over further chunks until a blank closes the piece on either
+side. Blanks are where the tokenizer's own split can't be crossed (`blanks_split` checks the file for that), so after the
+repair the ids agree exactly with those of the whole text.
 
 Pieces between blanks are encoded by the tokenizers library, each distinct one once for as long as it stays in a
 second bounded cache. A tokenizer file that doesn't split at blanks has each whole text encoded by the library.
 
-Decoding joins the ids' tokens as the library does: exactly by its own decoder, or for a file without a decoder by one
-blank between tokens (byte for byte what its decode() gives then).
+Decoding starts from the ids alone: exactly the library's decoder, or for a file without a decoder the ids' tokens with
+one blank between them (byte for byte what its decode() gives then).
 
-Defined cases: null and empty texts have no ids and decode to an empty text; a text of any length is handled whole.
+Defined cases: null and empty texts have no ids and decode to an empty text; a text of any length is handled whole, in
+memory of its size times a constant; repeated rows get equal rows; an empty table gives no rows; a kept column that is
+named as a result gives way to it.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import os
 
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 from .common import flat_utf8, map_texts
 
 WINDOW, MEAN = 16, 512  # bytes that the rolling hash sees; mean bytes between two cuts
-CHUNKS, PIECES = 3_000, 180_000  # entries of the two caches, each kept in two generations
+CHUNKS, PIECES = 40_000, 150_000  # entries of the two caches, each kept in two generations
 AT_ONCE = 2 << 20  # bytes of text
 
 
@@ -102,6 +106,14 @@ def blanks_split(spec: dict) -> bool:
     return bool(easy and drops and later and added and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("post_processor"))
 
 
+def lowers_letters(spec: dict) -> bool:
+    """Whether the file's own steps put letters in lower case and part a run of letters from a dot or comma behind it.
+
+    Only then may `core_of` and plain stretches do the same beforehand, which leaves fewer different pieces.
+    """
+    return '{"type": "Lowercase"}' in json.dumps(spec["normalizer"]) and "|[\\\\p{L}]+|" in json.dumps(spec["pre_tokenizer"])
+
+
 def core_of(piece: str) -> tuple[str, str]:
     """A piece that encodes to the same ids, of fewer different ones, and a mark to encode behind it (or '').
 
@@ -129,13 +141,15 @@ class Encoder:
             spec = json.load(f)
         self.splits, self.plain, self.mean = blanks_split(spec), spec.get("decoder") is None, mean
         self.tokens = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size(with_added_tokens=True))] if self.plain else []
-        self.lowers = self.splits and '{"type": "Lowercase"}' in json.dumps(spec["normalizer"]) and "|[\\\\p{L}]+|" in json.dumps(spec["pre_tokenizer"])
+        self.words = pa.array(self.tokens, pa.string()) if self.plain else None
+        self.lowers = self.splits and lowers_letters(spec)
         special = [x for x in spec.get("added_tokens", []) if x["special"] and x["content"][:2] not in x["content"][1:]]
         self.between = (special[0]["content"], special[0]["id"]) if special else None
         self.pieces, self.chunks = Cache(PIECES), Cache(CHUNKS)
+        self.seen = self.encoded = 0  # chunks so far, and those that the cache didn't have
 
-    def fill(self, missing: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (as int32 bytes) and decoded text of pieces, encoded by the library.
+    def fill(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids (as int32 bytes) of pieces, encoded by the library.
 
         Many pieces go into one call, with a special token between them: the library cuts a text at special tokens
         before anything else, and one can't begin in a piece and end in the separator. Pieces that hold its first two
@@ -144,7 +158,7 @@ class Encoder:
         out = {}
         alone = [x for x in missing if self.between is None or self.between[0][:2] in x]
         for piece, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            out[piece] = np.array(e.ids, np.int32).tobytes(), " ".join([self.tokens[i] for i in e.ids])
+            out[piece] = np.array(e.ids, np.int32).tobytes()
         if len(alone) == len(missing):
             return out
         mark, mark_id = self.between
@@ -153,9 +167,9 @@ class Encoder:
             part = rest[lo : lo + 1000]
             ids = np.array(self.lib.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, np.int32)
             cut = np.flatnonzero(ids == mark_id)
-            raw, tokens = ids.tobytes(), [self.tokens[i] for i in ids.tolist()]
+            raw = ids.tobytes()
             for piece, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                out[piece] = raw[4 * a : 4 * b], " ".join(tokens[a:b])
+                out[piece] = raw[4 * a : 4 * b]
         return out
 
     def open_chunk(self, chunk: str) -> tuple[str, str | None, str]:
@@ -166,8 +180,8 @@ class Encoder:
         b = chunk.rfind(" ")
         return chunk[:a], chunk[a:b], chunk[b + 1 :]
 
-    def learn(self, pieces: list[str]) -> list[tuple[bytes, str]]:
-        """What each piece encodes to, from the cache or the library."""
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from the cache or the library."""
         got = list(map(self.pieces.young.get, pieces))
         if None not in got:
             return got
@@ -180,21 +194,20 @@ class Encoder:
             else:
                 known[piece] = have
         young, old = self.pieces.young, self.pieces.old
-        parts = {y for core in cores.values() for y in core}
-        found = {y: x for y in parts if (x := young.get(y) or old.get(y)) is not None}
-        new = sorted(parts - found.keys() - {""})
-        found |= self.fill(new) | {"": (b"", "")}
+        parts = {y for core in cores.values() for y in core} - {""}
+        found = {y: x for y in parts if (x := young.get(y, old.get(y))) is not None}
+        new = sorted(parts - found.keys())
+        found |= self.fill(new) | {"": b""}
         for piece, (core, end) in cores.items():
-            x = found[core]
-            known[piece] = (x[0] + found[end][0], f"{x[1]} {found[end][1]}") if end else x
+            known[piece] = found[core] + found[end]
         for piece, x in known.items():
             self.pieces.put(piece, x)
         for core in new:
             self.pieces.put(core, found[core])
         return [known[pieces[i]] if x is None else x for i, x in enumerate(got)]
 
-    def inside(self, inners: list[str], plain: bool) -> list[tuple[bytes, str]]:
-        """Ids and decoded text of each of these stretches between blanks.
+    def inside(self, inners: list[str], plain: bool) -> list[bytes]:
+        """Ids of each of these stretches between blanks.
 
         Only the distinct pieces of them all are looked up; the rest is gathering by their numbers. Plain stretches have
         no letter above U+00FF and no special token: they are put in lower case, and parted between letter and dot or
@@ -209,56 +222,55 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = self.learn(coded.dictionary.to_pylist())
-        size = np.fromiter((len(x[0]) // 4 for x in known), np.int64, len(known))
-        # a piece without ids leaves no trace
-        used = size[codes] > 0
-        off, codes = np.r_[0, np.cumsum(used)][off], codes[used]
+        size = np.fromiter((len(x) // 4 for x in known), np.int64, len(known))
         start, count = np.r_[0, np.cumsum(size)], size[codes]
         ends = np.r_[0, np.cumsum(count)]
-        ids = np.frombuffer(b"".join([x[0] for x in known]), np.int32)
+        ids = np.frombuffer(b"".join(known), np.int32)
         raw = ids[np.arange(ends[-1]) + np.repeat(start[codes] - ends[:-1], count)].tobytes()
-        said = pa.array([x[1] for x in known], pa.string()).take(pa.array(codes))
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(off, pa.int32()), said), " ").to_pylist()
         at = (4 * ends[off]).tolist()
-        return [(raw[a:b], t) for a, b, t in zip(at[:-1], at[1:], text, strict=True)]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], list[str]]:
-        """Ids (int32 bytes) and decoded text of each text, given as UTF-8 end to end."""
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids (int32 bytes) of each text, given as UTF-8 end to end."""
         raw = data.tobytes()
         if not (self.splits and self.plain):
             got = self.lib.encode_batch([raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)
-            return [np.array(e.ids, np.int32).tobytes() for e in got], [self.lib.decode(e.ids, skip_special_tokens=False) for e in got]
+            return [np.array(e.ids, np.int32).tobytes() for e in got]
         ends, count = cuts(data, off, self.mean)
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         odd = np.r_[0, np.cumsum((data > 0xC3) | (data == 0x3C))]  # beyond U+00FF, or the beginning of a special token
         plain = ((odd[ends] == odd[starts]) & self.lowers).tolist()
-        texts = [raw[a:b].decode().replace("\n", " ") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         # each chunk that is new in this worker is encoded once
-        have, new = {}, {}
-        for c, easy in zip(texts, plain, strict=True):
-            if c not in have and c not in new:
-                got = self.chunks.get(c)
+        keys, have, new = [], {}, {}
+        for a, b, easy in zip(starts.tolist(), ends.tolist(), plain, strict=True):
+            c = raw[a:b]
+            k = hashlib.blake2b(c, digest_size=16).digest()
+            keys.append(k)
+            if k not in have and k not in new:
+                got = self.chunks.get(k)
                 if got is None:
-                    new[c] = (*self.open_chunk(c), easy)
+                    new[k] = (*self.open_chunk(c.decode().replace("\n", " ")), easy)
                 else:
-                    have[c] = got
+                    have[k] = got
+        self.seen += len(keys)
+        self.encoded += len(new)
         for easy in (True, False):
-            own = [(c, x) for c, x in new.items() if x[3] == easy and x[1] is not None]
+            own = [(k, x) for k, x in new.items() if x[3] == easy and x[1] is not None]
             for lo in range(0, len(own), 20_000):  # far below what 32-bit offsets hold
                 part = own[lo : lo + 20_000]
-                for (c, x), got in zip(part, self.inside([x[1] for _, x in part], easy), strict=True):
-                    have[c] = x[0], got, x[2]
-        have |= {c: (x[0], None, x[2]) for c, x in new.items() if x[1] is None}
-        for c in new:
-            self.chunks.put(c, have[c])
+                for (k, x), got in zip(part, self.inside([x[1] for _, x in part], easy), strict=True):
+                    have[k] = x[0], got, x[2]
+        have |= {k: (x[0], None, x[2]) for k, x in new.items() if x[1] is None}
+        for k in new:
+            self.chunks.put(k, have[k])
         # the joins: pieces that are open where chunks meet, closed by the next blank
         plans: list[list] = []
         joins: list[str] = []
         at = 0
-        for k in count.tolist():
+        for n in count.tolist():
             plan, piece = [], []
-            for c in texts[at : at + k]:
-                head, inner, tail = have[c]
+            for k in keys[at : at + n]:
+                head, inner, tail = have[k]
                 piece.append(head)
                 if inner is not None:
                     plan += ["".join(piece), inner]
@@ -266,14 +278,20 @@ class Encoder:
             plan.append("".join(piece))
             joins += [x for x in plan if isinstance(x, str)]
             plans.append(plan)
-            at += k
+            at += n
         closed = iter(self.learn(joins))
-        ids, decoded = [], []
-        for plan in plans:
-            got = [next(closed) if isinstance(x, str) else x for x in plan]
-            ids.append(b"".join([x[0] for x in got]))
-            decoded.append(" ".join([x[1] for x in got if x[1]]))
-        return ids, decoded
+        return [b"".join([next(closed) if isinstance(x, str) else x for x in plan]) for plan in plans]
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids, special tokens included."""
+        if not self.plain:
+            return pa.array([self.lib.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.words.take(ids.values)), " ")
+
+
+def listed(ids: list[bytes]) -> pa.ListArray:
+    off = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))]))
 
 
 FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -290,12 +308,9 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ke
 
         def run(texts: pa.Array) -> list[pa.Array]:
             gc.disable()  # millions of new tuples without a cycle
-            ids, decoded = encoder.encode(*flat_utf8(texts))
+            ids = listed(encoder.encode(*flat_utf8(texts)))
             gc.enable()
-            pa.default_memory_pool().release_unused()
-            off = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))])
-            return [pa.ListArray.from_arrays(pa.array(off), values), pa.array(decoded, pa.string())]
+            return [ids, encoder.decode(ids)]
 
         return run
 
