@@ -8,17 +8,22 @@ lies on, then the other one unless the triangle inequality shows that nothing th
 median| exceeds ``factor`` times that bound. Nodes whose M is too small for s are left out. With factor 1 that is exact; a
 smaller one prunes more.
 
-Queries and shards meet in blocks: each pair of a block of queries and a shard is one group, bounded in rows, and gives
-each query its k nearest there. Scores are inner products of the given vectors in double precision.
+Each shard is one stream of rows in one task: its vectors come first, and its tree is built of them once; then the queries
+come, batch by batch, and each gets its k nearest there. Only very many queries are dealt into blocks (of ``BLOCK``), for
+each of which the shard is built again elsewhere; so a vector is shuffled once for each block, and a task holds a shard and
+a batch. Scores are inner products of the given vectors in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no part;
-vectors of another length than the query's are no candidates; rows that repeat an id count once (the vector that sorts
-first); ties go to the smaller id; a query with fewer candidates than k gets them all; an empty table gives no rows.
+vectors of another length than the query's are no candidates; rows that repeat id and vector count once, but an id may have
+several vectors: each is a candidate of its own, and each asks, with ranks of its own (``mark``, a hash of the asking vector, tells
+them apart); only the asking row itself is no candidate; ties go to the smaller id; a query with fewer candidates than k gets them
+all; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, FACTOR = 20, 0.2
-SHARD, BLOCK, LEAF = 16_384, 16_384, 128  # vectors in a shard, queries in a block, vectors in a leaf (unless they are alike)
+SHARD, BLOCK, LEAF = 16_384, 1 << 20, 128  # vectors in a shard, queries in a block, vectors in a leaf (unless they are alike)
+ROWS = 4096  # queries that are searched for at a time
 SLACK = 1e-7  # distances of equal directions are rounded by so much
 
 
@@ -75,8 +81,9 @@ def distance(cosine: np.ndarray) -> np.ndarray:
 class Found:
     """The k best candidates of each query so far."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, norms: np.ndarray):
-        self.q, self.qid, self.x, self.ids, self.k, self.norms = queries, query_ids, vectors, ids, k, norms
+    def __init__(self, queries: np.ndarray, asking: list[np.ndarray], vectors: np.ndarray, own: list[np.ndarray], k: int, norms: np.ndarray):
+        """asking and own: the id and the mark of each query and each vector."""
+        self.q, self.asking, self.x, self.own, self.ids, self.k, self.norms = queries, asking, vectors, own, own[0], k, norms
         self.score = np.full((len(queries), k), -np.inf)
         self.at = np.full((len(queries), k), -1, np.int64)
 
@@ -93,7 +100,7 @@ class Found:
 
     def add(self, rows: np.ndarray, leaf: np.ndarray) -> None:
         s = self.q[rows] @ self.x[leaf].T
-        s[self.qid[rows][:, None] == self.ids[leaf]] = -np.inf
+        s[(self.asking[0][rows][:, None] == self.own[0][leaf]) & (self.asking[1][rows][:, None] == self.own[1][leaf])] = -np.inf
         better = s.max(1) >= self.score[rows, -1]
         rows, s = rows[better], s[better]
         if not len(rows):
@@ -111,50 +118,84 @@ class Found:
         self.at[rows] = np.where(np.isfinite(self.score[rows]), np.take_along_axis(at, order, 1), -1)
 
 
-
-def search(queries: pa.Table, shard: pa.Table, k: int, factor: float) -> pa.Table:
-    """The k nearest in a shard of each query of a block: query_id, vec_id, score."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    q_len, x_len = (np.array(t.column("dim").to_pylist(), np.int64) for t in (queries, shard))
-    for dim in np.intersect1d(q_len, x_len):
-        q, x = queries.filter(pa.array(q_len == dim)), shard.filter(pa.array(x_len == dim))
-        qv, xv = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (q, x))
-        qid, ids = q.column("vec_id").to_numpy(), x.column("vec_id").to_numpy()
-        norm, norms = np.linalg.norm(qv, axis=1), np.linalg.norm(xv, axis=1)
-        found = Found(qv, qid, xv, ids, k, norm)
-        tree = Tree(xv / norms[:, None], norms)
-        tree.visit(tree.root, qv / norm[:, None], np.arange(len(qv)), found, factor)
-        r, c = np.nonzero(found.at >= 0)
-        at = found.at[r, c]
-        out.append((qid[r], ids[at], np.einsum("ij,ij->i", qv[r], xv[at])))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+class Shard:
+    """The vectors of one shard, and a tree for each length that they have."""
+
+    def __init__(self, rows: pa.Table):
+        self.trees: dict[int, tuple[np.ndarray, list[np.ndarray], Tree]] = {}
+        for dim, x, own in by_length(rows):
+            norms = np.linalg.norm(x, axis=1)
+            self.trees[dim] = x, own, Tree(x / norms[:, None], norms)
+
+    def search(self, queries: pa.Table, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+        """query_id, mark, vec_id, score of the k nearest here of each query."""
+        for dim, q, asking in by_length(queries):
+            if dim not in self.trees:
+                continue
+            x, own, tree = self.trees[dim]
+            norm = np.linalg.norm(q, axis=1)
+            found = Found(q, asking, x, own, k, norm)
+            tree.visit(tree.root, q / norm[:, None], np.arange(len(q)), found, factor)
+            r, c = np.nonzero(found.at >= 0)
+            at = found.at[r, c]
+            cols = [asking[0][r], asking[1][r], own[0][at], np.einsum("ij,ij->i", q[r], x[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "mark", "vec_id", "score"])
+
+
+def by_length(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Of each length of vectors: the length, a matrix of them, their ids and marks."""
+    size = rows.column("dim").to_numpy()
+    for dim in np.unique(size):
+        part = rows.filter(pa.array(size == dim)) if (size != dim).any() else rows
+        v = part.column("v").combine_chunks()
+        yield int(dim), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), [part.column(c).to_numpy() for c in ("vec_id", "mark")]
+
+
+def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and block, vectors (not `ask`) before queries: search each shard as its queries come."""
+    at, held, shard = None, [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        place = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "block", "ask")], 1)
+        cut = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if at != tuple(place[lo][:2]):
+                at, held, shard = tuple(place[lo][:2]), [], None
+            rows = b.slice(lo, hi - lo)
+            if not place[lo][2]:
+                held.append(rows)
+                continue
+            if shard is None and held:
+                shard, held = Shard(pa.Table.from_batches(held)), []
+            if shard is not None:
+                for first in range(0, rows.num_rows, ROWS):
+                    yield from shard.search(pa.Table.from_batches([rows.slice(first, ROWS)]), k, factor)
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v (doubles), dim and norm2 of the rows that take part, one for each id."""
+    """vec_id, mark (a hash of the vector), v (doubles) and dim of the rows that take part; equal rows are one."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     v = F.col(vec_col).cast("array<double>")
     got = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(F.exists("v", bad), F.lit(True)))
-    got = got.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).where("norm2 > 0")
-    return got.groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("s")).select("vec_id", "s.v", "s.norm2", F.size("s.v").cast("long").alias("dim"))
+    got = got.where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)
+    return got.groupBy("vec_id", "v").agg(F.lit(1).alias("__one")).select("vec_id", F.xxhash64("v").alias("mark"), "v", F.size("v").cast("long").alias("dim"))
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest that are found for each query; is_query: a condition on vec_id."""
+    """query_id, rank, vec_id, score and mark of the k nearest that are found for each query; is_query: a condition on vec_id."""
     own = usable(rows, id_col, vec_col)
     size = own.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(size.n / SHARD)), max(1, math.ceil(size.q / BLOCK))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cols = ["shard", "block", "vec_id", "dim", "v"]
-    left = own.where(is_query).withColumn("block", place(blocks)).withColumn("shard", every(shards)).select(*cols)
-    right = own.withColumn("shard", place(shards)).withColumn("block", every(blocks)).select(*cols)
-    part = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        lambda q, x: search(q, x, k, factor), "query_id long, vec_id long, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cols = ["shard", "block", "ask", "vec_id", "mark", "dim", "v"]
+    asking = own.where(is_query).withColumns({"ask": F.lit(True), "block": place(blocks)}).withColumn("shard", every(shards)).select(*cols)
+    held = own.withColumns({"ask": F.lit(False), "shard": place(shards)}).withColumn("block", every(blocks)).select(*cols)
+    both = held.unionByName(asking).repartition("shard", "block").sortWithinPartitions("shard", "block", "ask")
+    part = both.mapInArrow(lambda batches: searched(batches, k, factor), "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "mark")
 
 
 def op6(embeddings: DataFrame) -> DataFrame:
