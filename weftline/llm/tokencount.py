@@ -7,8 +7,10 @@ character that no one-character piece covers may be an unknown piece with the sm
 unknown pieces count as one, or with byte fallback as one token for each of their UTF-8 bytes.
 
 Words are what the Metaspace step makes: every blank becomes ``▁`` and begins a word, and a word begins a non-empty
-text. Words are cached in each worker, in a bounded cache. Defined cases: null and empty texts have 0 tokens; repeated
-rows get equal counts; a word of any length is handled whole.
+text. Words are cached in each worker, in a bounded cache. Scores come with the vocabulary: those of the public sentencepiece
+file are the ranks of its merges, not log probabilities, so its counts are those of a unigram model with these scores.
+Defined cases: null and empty texts have 0 tokens; repeated rows get equal counts; a word of any length is handled whole,
+in memory that doesn't grow with it; an empty table gives no rows; a kept column named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ class Counter:
             if p:
                 self.auto.add_word(p, (len(p), s, i == unknown))
         self.auto.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.least = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.auto for b in range(256))
         self.known = Cache(WORDS)
@@ -53,39 +56,36 @@ class Counter:
     def word(self, text: str) -> int:
         """Tokens of one word: the best path's pieces.
 
-        ``best[e]``: score, count, and how the path ends there: 0 with a piece, else the length of its unknown tail.
+        Of each end of a piece it keeps the best score, the count, and how the path ends there: 0 with a piece, else the length
+        of its unknown tail. Ends farther back than the longest piece are overwritten, so memory doesn't grow with the word.
+        The automaton names the pieces of one end from the longest to the shortest, that is in the order of their starts.
         """
-        n = len(text)
-        score = [-1e300] * (n + 1)
-        count = [0] * (n + 1)
-        tail = [0] * (n + 1)
-        score[0] = 0.0
-        single = [False] * n
-        ends: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
-        for last, got in self.auto.iter(text):
-            begin = last + 1 - got[0]
-            ends[begin].append((last + 1, got[1], got[2]))
-            if got[0] == 1:
-                single[begin] = True
-        for begin in range(n):
-            base = score[begin]
-            for end, s, unk in ends[begin]:
-                if base + s > score[end]:
+        size = self.longest + 1
+        score, count, tail = [0.0] * size, [0] * size, [0] * size
+        found = self.auto.iter(text)
+        last, got = next(found, (-1, None))
+        for end in range(1, len(text) + 1):
+            best, n, unknown, single = -1e300, 0, 0, False
+            while got is not None and last == end - 1:
+                length, s, unk = got
+                at = (end - length) % size
+                single |= length == 1
+                if score[at] + s > best:
+                    best, n, unknown = score[at] + s, count[at] + 1, 0
                     if unk:
-                        self._unknown(text, begin, score, count, tail, base + s, end)
-                    else:
-                        score[end], count[end], tail[end] = base + s, count[begin] + 1, 0
-            if not single[begin] and base + self.least > score[begin + 1]:
-                self._unknown(text, begin, score, count, tail, base + self.least)
-        return count[n]
-
-    def _unknown(self, text: str, begin: int, score: list, count: list, tail: list, s: float, end: int = 0) -> None:
-        end = end or begin + 1
-        score[end], tail[end] = s, tail[begin] + end - begin
-        if self.bytes:
-            count[end] = count[begin] + len(text[begin:end].encode())
-        else:
-            count[end] = count[begin] + (not tail[begin])
+                        n, unknown = self._unknown(text[end - length : end], count[at], tail[at])
+                last, got = next(found, (-1, None))
+            at = (end - 1) % size
+            if not single and score[at] + self.least > best:
+                best = score[at] + self.least
+                n, unknown = self._unknown(text[end - 1], count[at], tail[at])
+            at = end % size
+            score[at], count[at], tail[at] = best, n, unknown
+        return count[len(text) % size]
+
+    def _unknown(self, part: str, count: int, tail: int) -> tuple[int, int]:
+        """Count and length of the unknown tail behind one more unknown part."""
+        return count + (len(part.encode()) if self.bytes else not tail), tail + len(part)
 
     def count(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.int64)
