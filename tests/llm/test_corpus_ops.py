@@ -89,7 +89,28 @@ def test_ownership_parts_examples_from_credentials(spark):
     red = {r.doc_id: r for r in secrets.redacted(frame(spark, rows)).collect()}
     assert len(red) == len(rows) and red[0].text == f"copied {wide}"
     assert "fedcba" not in red[10].text and red[10].n_chars == len(red[10].text) and red[12].text == "key [secret] end"
-    assert secrets.redacted(frame(spark, rows, "digest")).columns[-1] == "digest"
+
+
+def test_redaction_cuts_spans_and_leaves_the_rest(spark):
+    word, key = "informationsystem", "zx81" * 5
+    texts = [f"password: {word} and {word}s are fine", f"token = {key} or secret={key}.{key}", None, "", "clean", f"é\U0001f600 secret: {key} end " + "pad " * 40_000]
+    odd = ["digest", "salt", "__values", "key", "parts", "new", "row", "hash"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s")]
+    df = frame(spark, rows, *odd)
+    red = secrets.redacted(df)
+    assert red.columns == df.columns
+    got = {r.doc_id: r for r in red.collect()}
+    assert red.count() == len(rows) and all(r[c] == "mine" for r in got.values() for c in odd)
+    assert got[0].text == f"password: [secret] and {word}s are fine" and got[1].text == "token = [secret] or secret=[secret]"
+    assert (got[2].text, got[3].text, got[4].text) == (None, "", "clean") and got[5].text == "é\U0001f600 secret: [secret] end " + "pad " * 40_000
+    assert got[0].n_chars == len(got[0].text) and secrets.redacted(frame(spark, [])).count() == 0
+
+
+def test_many_repositories_make_an_example(spark):
+    value = "token = " + "abc9" * 5
+    rows = [(i, value, "en", "s0") for i in range(secrets.REPOS)] + [(100 + i, value.replace("9", "8"), "en", "s0") for i in range(secrets.REPOS - 1)]
+    got = {r.doc_id: r for r in secrets.op2(frame(spark, rows + rows[:3])).collect()}
+    assert (got[0].n_live, got[0].most_owners, got[0].most_repos) == (0, 1, secrets.REPOS) and got[100].n_live > 0 and got[100].most_repos == secrets.REPOS - 1
 
 
 # ---- near duplicates
@@ -312,20 +333,34 @@ def test_default_factor_has_the_recall(spark):
     assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values())) > 0.95
 
 
-@pytest.mark.parametrize("norms", ["equal", "outlier", "spread"])
+@pytest.mark.parametrize("norms", ["gaussian", "equal", "outlier", "spread", "clusters"])
 def test_default_factor_with_unequal_norms(norms):
+    """Several shards, each searched by itself, as the query does."""
     rng = np.random.default_rng(11)
-    n, k = 4000, 20
+    n, k, shards = 6000, 20, 3
     x = rng.normal(size=(n, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    x *= {"equal": np.ones(n), "outlier": np.r_[2, np.ones(n - 1)], "spread": np.exp(0.6 * rng.normal(size=n))}[norms][:, None]
+    if norms == "clusters":
+        x = rng.normal(size=(30, 64))[rng.integers(0, 30, n)] * np.exp(0.6 * rng.normal(size=n))[:, None] + 0.3 * x
+    elif norms != "gaussian":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x *= {"equal": np.ones(n), "outlier": np.r_[50, np.ones(n - 1)], "spread": np.exp(0.6 * rng.normal(size=n))}[norms][:, None]
     ids = np.arange(n)
-    part = lambda rows: pa.table({"vec_id": ids[rows], "dim": np.full(len(rows), 64), "v": pa.array(list(x[rows]), pa.list_(pa.float64()))})
-    got = defaultdict(set)
-    for r in vptree.search(part(ids[::20]), part(ids), k, vptree.FACTOR).to_pylist():
-        got[r["query_id"]].add(r["vec_id"])
+    part = lambda rows: pa.table({"vec_id": ids[rows], "mark": np.zeros(len(rows), np.int64), "dim": np.full(len(rows), 64), "v": pa.array(list(x[rows]), pa.list_(pa.float64()))})
+    near = defaultdict(list)
+    for s in range(shards):
+        for b in vptree.Shard(part(ids[s::shards])).search(part(ids[::20]), k, vptree.FACTOR):
+            for r in b.to_pylist():
+                near[r["query_id"]].append((-r["score"], r["vec_id"]))
     want = exact(x, ids, k)
-    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / (k * len(want)) > 0.95
+    assert sum(len({v for _, v in sorted(near[q])[:k]} & {v for v, _ in w}) for q, w in want.items()) / (k * len(want)) > 0.95
+
+
+def test_an_id_may_have_several_vectors(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (20, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vptree.op6(df).orderBy("mark", "rank").collect():
+        got[r.mark].append((r.query_id, r["rank"], r.vec_id, r.score))
+    assert sorted(got.values()) == [[(20, 1, 1, 5.0), (20, 2, 20, 3.0), (20, 3, 1, 0.0)], [(20, 1, 1, 15.0), (20, 2, 20, 3.0), (20, 3, 1, 1.0)]]
 
 
 def test_vectors_that_take_no_part(spark):

@@ -141,8 +141,8 @@ def test_bpe_agrees_with_the_library(lib, mean):
     texts = [t or "" for t in ODD if not t or len(t) < 100_000] + hostile()
     raw = [t.encode() for t in texts]
     enc = bpe.Encoder(bpe.public_path("word_bpe_49k.json"), mean)
-    ids, said = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    for t, i, s in zip(texts, ids, said, strict=True):
+    ids = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, i, s in zip(texts, ids, enc.decode(bpe.listed(ids)).to_pylist(), strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(i, np.int32).tolist() == want
         assert s == lib.decode(want, skip_special_tokens=False)
@@ -154,8 +154,8 @@ def test_bpe_other_files_go_through_the_library(lib):
     path = bpe.public_path("byte_bpe_50k.json")
     enc, own = bpe.Encoder(path), Tokenizer.from_file(path)
     raw = [t.encode() for t in ("Hello  there", "", "é\n\n x")]
-    ids, said = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    for t, i, s in zip(raw, ids, said, strict=True):
+    ids = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, i, s in zip(raw, ids, enc.decode(bpe.listed(ids)).to_pylist(), strict=True):
         assert np.frombuffer(i, np.int32).tolist() == own.encode(t.decode(), add_special_tokens=False).ids and s == own.decode(np.frombuffer(i, np.int32).tolist(), skip_special_tokens=False)
 
 
@@ -170,6 +170,23 @@ def test_shared_passages_are_cut_alike():
     assert cut[0] == cut[1] and len(cut[0]) > 20
 
 
+def test_repeated_chunks_are_encoded_once_over_batches():
+    """Passages that come again many batches later are taken from the cache; ids are those of a fresh encoder."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(900)) for _ in range(20)]
+    enc = bpe.Encoder(bpe.public_path("word_bpe_49k.json"))
+    for batch in range(6):
+        texts = [f"{batch} {' '.join(word() for _ in range(200))} {p} {batch}" for p in passages]
+        raw = [t.encode() for t in texts]
+        before = enc.encoded, enc.seen
+        got = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        if batch:
+            assert (enc.encoded - before[0]) / (enc.seen - before[1]) < 0.5
+    fresh = bpe.Encoder(bpe.public_path("word_bpe_49k.json"))
+    assert got == fresh.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
 def test_bpe_query_and_decoding(spark, lib):
     d = docs(spark, extra=["ids", "decoded"])
     rows = bpe.digests(bpe.encoded(d)).collect()
@@ -222,6 +239,17 @@ def test_counts_with_ties():
             assert c.word(text) == len(t.encode(text).ids), text
 
 
+def test_a_long_word_takes_bounded_memory():
+    import tracemalloc
+
+    v = [("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -1.5)]
+    c = tokencount.Counter(v, 0, False)
+    tracemalloc.start()
+    assert c.word("ab" * 100_000) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+
+
 def test_counts_query(spark):
     rows = {r.doc_id: r for r in tokencount.op8(docs(spark, extra=["n_tokens"])).collect()}
     assert rows[0].n_tokens == rows[1].n_tokens == 0 and rows[11].n_tokens == rows[12].n_tokens > 0

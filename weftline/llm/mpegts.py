@@ -5,7 +5,8 @@
 counters, reassembles the elementary packets and lists timestamps with random-access points.
 
 Defined cases: null and empty texts have an n_bytes of 0 and a payload of 64 zero bytes; the longest text is handled
-in memory of its own size times a small constant; equal texts give equal rows.
+in memory of its own size times a small constant; equal texts give equal rows; an empty table gives no rows; a kept column
+that is named as a result gives way to it.
 """
 
 from __future__ import annotations
