@@ -4,10 +4,14 @@ Each word has features (the word in a lexicon, its first and last letters, its l
 give it a potential for each language; learned transitions tie neighbours. Forward-backward gives each word's marginal
 distribution. A text's language is the one with the largest mean marginal (ties: the smaller name), its score that mean.
 
-Words are maximal runs of letters, in lower case. Training takes a bounded sample of learnable rows (``ROWS`` for each
-language, ``CHARS`` letters of each, from a place that a hash picks), and splices pieces of several languages into one
-sequence, as in code-switched text, so that transitions are learned. Defined cases: a text that is null or has no
-letter is `und` with score 0; without anything to learn from all texts are `und`; repeated rows get equal rows.
+Words are maximal runs of letters, in lower case. Training takes a bounded sample of learnable rows, each with its whole
+text: of each language the rows of the smallest hashes that fit into ``ROWS`` rows and its part of ``LETTERS`` characters
+(a row that would go beyond is passed over); of more than ``LANGUAGES`` languages the most frequent are learned. Pieces of several
+languages are spliced into one sequence, as in code-switched text, so that transitions are learned.
+
+Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from all texts are
+`und`; repeated rows get equal rows; a text of any length is labelled whole, all its words as one chain; an empty table
+gives no rows; a kept column that is named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import held_out, learnable, map_texts
 
-ROWS, CHARS = 400, 1200
+ROWS, LETTERS, LANGUAGES = 400, 2_000_000, 64  # bounds of what is learned from
 BITS = 17  # of a feature's hash
 STEPS = 64  # words in a training sequence; also rows of the table that forward-backward walks in large batches
 EPOCHS, BATCH, RATE = 6, 64, 0.05
@@ -267,22 +271,25 @@ def _expected(e: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.nda
     return gamma.transpose(1, 0, 2)[inside], pairs
 
 
-def sample(docs: DataFrame, rows: int = ROWS, chars: int = CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """At most `rows` rows of each language to learn from, those with the smallest hash of the id."""
-    own = docs.where(learnable(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    place = (1 + F.pmod(F.xxhash64(F.lit(1), doc_id), F.greatest(F.lit(1), F.length(text) - chars + 1))).cast("int")
-    h = F.xxhash64(doc_id)
-    sizes = own.groupBy(lang).agg(F.count("*").alias("__n"))
+def sample(docs: DataFrame, rows: int = ROWS, letters: int = LETTERS, languages: int = LANGUAGES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """text, lang, h and doc_id of the rows to learn from: at most `rows` of a language and `letters` characters in all."""
+    own = docs.where(learnable(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("all"))))
     # a slice of the hash's range that holds about three times the rows asked for; all rows if there are fewer
-    share = (F.lit(3.0 * rows) / F.col("__n")).cast("double")
-    near = own.select(doc_id, lang, text).join(F.broadcast(sizes), lang).where(F.shiftrightunsigned(h, 11) / F.lit(2.0**53) < share)
-    cut = near.select(h.alias("__h"), doc_id, lang, F.substring(F.col(text), place, F.lit(chars)).alias(text))
-    first = Window.partitionBy(lang).orderBy("__h", doc_id, text)
-    return cut.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= rows).select(F.col(text).alias("text"), F.col(lang).alias("lang"), "__h", F.col(doc_id).alias("doc_id"))
+    h = F.xxhash64("doc_id")
+    share = F.lit(3.0 * rows) / F.col("n")
+    near = own.join(F.broadcast(sizes.select("lang", "n", F.floor(F.lit(letters) / F.col("all")).alias("room"))), "lang").where(F.shiftrightunsigned(h, 11) / F.lit(2.0**53) < share)
+    light = near.select("doc_id", "lang", h.alias("h"), F.xxhash64("text").alias("mark"), F.length("text").alias("size"), "room").where("size <= room")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    picked = light.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    picked = picked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("sum <= room")
+    picked = F.broadcast(picked.select("doc_id", "lang", "mark", "h").distinct())  # at most `rows` for each of `languages`
+    return near.withColumn("mark", F.xxhash64("text")).join(picked, ["doc_id", "lang", "mark"]).dropDuplicates(["doc_id", "lang", "mark"]).select("text", "lang", picked["h"], "doc_id")
 
 
 def fit(docs: DataFrame, **names: str) -> Model | None:
-    got = sorted(sample(docs, **names).collect(), key=lambda r: (r["__h"], r.doc_id, r.text))
+    got = sorted(sample(docs, **names).collect(), key=lambda r: (r.h, r.doc_id, r.text))
     return train([r.text for r in got], [r.lang for r in got]) if got else None
 
 

@@ -4,26 +4,31 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. In ea
 embeddings are max-pooled; a small layer turns the pooled values into one logit, and the logits of a text's chunks,
 weighted by their lengths, average to the logit of its probability.
 
-Training reads a bounded sample (``SAMPLE`` rows, those of the smallest hash) of the labelled rows that are not held
-out; everything else covers whole texts. Defined cases: null and empty texts are one chunk without bytes; a document
-with several different labels, a null label or no label is not learnt from; no labels at all give 0.5 everywhere;
-repeated rows get equal scores.
+Training takes a bounded sample of the labelled rows that are not held out, each with its whole text: those of the smallest
+hashes, at most ``SAMPLE`` of them and ``SAMPLE_CHARS`` characters in all (a row that would go beyond is passed over).
+
+Defined cases: null and empty texts are one chunk without bytes; a document with several different labels, a null label or
+no label is not learnt from; of rows that share a labelled id the one with the smallest hash of its text is; no labels at all
+give 0.5 everywhere; repeated rows get equal scores; windows that tie for a maximum count once, the first; a text of any
+length is scored whole, a few chunks at a time; an empty table gives no rows; a kept column that is named as a result gives
+way to it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_utf8, held_out, learnable, map_texts
+from .common import flat_utf8, held_out, learnable, map_texts, whole_row
 
 CHUNK, STEP = 256, 224  # bytes in a chunk, and between the starts of two
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 12, 2, 6, 48, 16
-SAMPLE, SAMPLE_BYTES = 4000, 4096  # rows to learn from, and bytes of each, taken from a place that a hash picks
+SAMPLE, SAMPLE_CHARS = 4000, 8_000_000  # rows to learn from, and characters of them all
 EPOCHS, STEPS, BATCH, RATE = 16, 600, 48, 4e-3  # at least so many passes, and so many steps
+DRAWN = 6  # chunks of a document in one pass of the training, drawn anew from its whole text each time
 CUT = 0.3
 AT_ONCE = 96  # chunks in one matrix product
 
@@ -96,6 +101,26 @@ def score(m: Model | None, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
 
+def gradients(m: Model, x: np.ndarray, size: np.ndarray, own: np.ndarray, labels: np.ndarray) -> Model:
+    """Gradients of the mean log loss of some documents; own: the document of each chunk."""
+    pool, at = pooled(m, x, size)
+    z, h, f = logits(m, pool, size)
+    weight = np.maximum(size, 1) / np.bincount(own, np.maximum(size, 1))[own]
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(own, z * weight), -30, 30)))
+    dz = (((p - labels) / len(labels))[own] * weight).astype(np.float32)
+    dh = dz[:, None] * m["w2"] * (1 - h * h)
+    dpool = (dh @ m["w1"].T)[:, :FILTERS] * (f[:, :FILTERS] > 0)
+    g = {"b2": dz.sum(keepdims=True), "w2": h.T @ dz, "b1": dh.sum(0), "w1": f.T @ dh, "bias": dpool.sum(0), "conv": np.zeros_like(m["conv"]), "emb": np.zeros((256, DIM))}
+    for lo in range(0, len(x), AT_ONCE):  # the bytes under the winning windows, few chunks at a time
+        s = slice(lo, lo + AT_ONCE)
+        won = x[s][np.arange(len(x[s]))[:, None, None], at[s][:, :, None] * STRIDE + np.arange(WIDTH)]
+        e = m["emb"][won].reshape(len(won), FILTERS, -1)
+        g["conv"] += np.einsum("nf,nfk->kf", dpool[s], e)
+        de = (dpool[s][:, :, None] * m["conv"].T[None]).reshape(-1, DIM)
+        g["emb"] += np.stack([np.bincount(won.reshape(-1), de[:, i], 256) for i in range(DIM)], 1)
+    return g
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None:
     """Fit the network by gradient steps on the log loss (Adam); None if there is nothing to learn from."""
     if not len(texts):
@@ -121,30 +146,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
         order = rng.permutation(n)
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
-            rows = np.concatenate([np.arange(by_doc[d], by_doc[d + 1]) for d in docs])
-            own = np.repeat(np.arange(len(docs)), by_doc[docs + 1] - by_doc[docs])
+            drawn = [np.arange(by_doc[d], by_doc[d + 1]) if by_doc[d + 1] - by_doc[d] <= DRAWN else by_doc[d] + rng.choice(by_doc[d + 1] - by_doc[d], DRAWN, replace=False) for d in docs]
+            rows, own = np.concatenate(drawn), np.repeat(np.arange(len(docs)), [len(x) for x in drawn])
             sz = size[rows]
             x = matrix(data, start[rows], sz)
-            pool, at = pooled(m, x, sz)
-            z, h, f = logits(m, pool, sz)
-            weight = np.maximum(sz, 1) / np.bincount(own, np.maximum(sz, 1))[own]
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(own, z * weight), -30, 30)))
-            dz = (((p - labels[docs]) / len(docs))[own] * weight).astype(np.float32)
-            dh = dz[:, None] * m["w2"] * (1 - h * h)
-            dpool = (dh @ m["w1"].T)[:, :FILTERS] * (f[:, :FILTERS] > 0)
-            at_bytes = x[np.arange(len(x))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
-            e = m["emb"][at_bytes]
-            g = {
-                "b2": dz.sum(keepdims=True),
-                "w2": h.T @ dz,
-                "b1": dh.sum(0),
-                "w1": f.T @ dh,
-                "bias": dpool.sum(0),
-                "conv": np.einsum("nf,nfk->kf", dpool, e.reshape(len(x), FILTERS, -1)),
-            }
-            de = (dpool[:, :, None] * m["conv"].T[None]).reshape(-1, DIM)
-            flat = at_bytes.reshape(-1)
-            g["emb"] = np.stack([np.bincount(flat, de[:, i], 256) for i in range(DIM)], 1)
+            g = gradients(m, x, sz, own, labels[docs])
             step += 1
             rate = RATE * (1 - epoch / epochs * 0.8)
             for k, v in g.items():
@@ -155,12 +161,16 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """At most `rows` labelled rows to learn from: text slice and label. Ties of the hash go to the smaller id."""
-    one = labels.where(learnable(doc_id) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi")).where("__lo = __hi")
-    picked = one.orderBy(F.xxhash64(doc_id), doc_id).limit(rows).select(doc_id, F.col("__lo").cast("int").alias("label"))
-    place = 1 + F.pmod(F.xxhash64(F.lit(1), doc_id), F.greatest(F.lit(1), F.length(text) - size + 1))
-    return docs.join(F.broadcast(picked), doc_id).select(doc_id, F.substring(F.col(text), place.cast("int"), F.lit(size)).alias("text"), "label").groupBy(doc_id).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """doc_id, text and label of at most `rows` labelled rows to learn from. Ties of the hash go to the smaller id."""
+    one = labels.where(learnable(doc_id) & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
+    first = one.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", F.col("lo").cast("int").alias("label"))
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark")).join(F.broadcast(first), "id")
+    light = own.groupBy("id", "label").agg(F.min(F.struct("mark", F.coalesce(F.length("text"), F.lit(0)).alias("size"))).alias("s")).where(F.col("s.size") <= chars)
+    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = light.withColumn("sum", F.sum("s.size").over(order)).where(F.col("sum") <= chars)  # a window over at most `rows` rows
+    picked = F.broadcast(picked.select("id", F.col("s.mark").alias("mark")))
+    return own.join(picked, ["id", "mark"]).groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).withColumnRenamed("id", doc_id)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **names: str) -> Model | None:
@@ -193,6 +203,6 @@ def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
-    """The documents, with all their columns, that the classifier doesn't reject."""
-    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return scored(packed, model, keep=("__row",), cut=cut).where("predicted = 1").select("__row.*")
+    """The documents, with all their columns, that the classifier doesn't reject. Defined cases: as above; columns of any names stay."""
+    packed = docs.select("text", whole_row(docs).alias("row"))
+    return scored(packed, model, keep=("row",), cut=cut).where("predicted = 1").select("row.*")
