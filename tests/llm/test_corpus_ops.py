@@ -259,6 +259,7 @@ def test_raking_meets_the_targets():
     for i, share in enumerate(shares):
         for v, x in share.items():
             assert math.isclose(sum(w[k] * t[k] for k, key in enumerate(keys) if key[i] == v) / t.sum(), x, rel_tol=1e-6)
+    assert mixing.residual(keys, t, w, shares) < 1e-6 < mixing.residual(keys, t, np.ones(len(t)), shares)
     for budget in (0.05, 0.6, 1.0):
         p = np.minimum(1, mixing.scale(w, t, budget) * w)
         assert math.isclose((p * t).sum(), budget * t.sum(), rel_tol=1e-9)
@@ -282,6 +283,8 @@ def test_mixing_edge_cases(spark):
     assert mixing.sampled(df).columns == df.columns
     assert mixing.mixed(frame(spark, [])).count() == 0
     assert {r.weight for r in mixing.mixed(frame(spark, rows[:2])).collect()} == {1.0}
+    a, b = ({(r.doc_id, r.weight) for r in mixing.mixed(df, {"lang": x}).collect()} for x in ({"fr": 1.0, "en": 1.0}, {"fr": 1.0, "en": 1.0, "none": 5.0}))
+    assert a == b  # a target that no document has is spread over the others
     only = mixing.mixed(df, {"lang": {"fr": 1.0}}).collect()
     assert all(r.p == 0 for r in only if r.doc_id in (1, 2)) and any(r.p > 0 for r in only if r.doc_id == 3)
 

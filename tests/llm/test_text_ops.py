@@ -95,6 +95,80 @@ def test_chunks_cover_every_byte():
         assert (seen >= 1).all() and sorted(set(doc)) == list(range(len(sizes)))
 
 
+def naive_scores(m, texts):
+    """The network, one window and one filter at a time."""
+    out = []
+    for t in texts:
+        total = weight = 0.0
+        start = 0
+        while True:
+            part = t[start : start + quality_cnn.CHUNK]
+            padded = part.ljust(quality_cnn.CHUNK, b"\0")
+            best = [-1e9] * quality_cnn.FILTERS
+            for at in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                if at < max(1, len(part)):
+                    x = np.concatenate([m["emb"][b] for b in padded[at : at + quality_cnn.WIDTH]]).astype(float)
+                    best = [max(b, float(x @ m["conv"][:, f])) for f, b in enumerate(best)]
+            f = np.array([max(0.0, b + float(m["bias"][i])) for i, b in enumerate(best)] + [len(part) / quality_cnn.CHUNK])
+            z = float(np.tanh(f @ m["w1"] + m["b1"]) @ m["w2"] + m["b2"][0])
+            total, weight = total + z * max(1, len(part)), weight + max(1, len(part))
+            if start + quality_cnn.CHUNK >= len(t):
+                break
+            start += quality_cnn.STEP
+        out.append(1 / (1 + np.exp(-total / weight)))
+    return out
+
+
+def small_model():
+    texts = [b"good words here " * 20, b"junk!! 11 22 33 " * 15, "été 日本".encode() * 30, b""]
+    return quality_cnn.train(texts, np.array([1.0, 0, 1, 0])), texts
+
+
+def test_scores_against_a_naive_network():
+    m, texts = small_model()
+    texts += [b"a", bytes(range(256)) * 2, b"x" * 700]
+    got = quality_cnn.score(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, naive_scores(m, texts), atol=1e-4)
+
+
+def test_gradients_against_differences():
+    m, texts = small_model()
+    m = {k: v.astype(np.float64) for k, v in m.items()}
+    data, off, y = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array([0.0, 1, 1, 0])
+    start, size, own = quality_cnn.chunks(off)
+    x = quality_cnn.matrix(data, start, size)
+    g = quality_cnn.gradients(m, x, size, own, y)
+
+    def loss():
+        p = quality_cnn.score(m, data, off)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    rng = np.random.default_rng(1)
+    for k, v in m.items():
+        flat = v.reshape(-1)
+        far = np.argsort(-np.abs(g[k].reshape(-1)))[:20]
+        for i in rng.choice(far, min(3, len(far)), replace=False):
+            was, step = flat[i], 1e-2
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / (2 * step) - g[k].reshape(-1)[i]) < 0.1 * abs(g[k].reshape(-1)[i]) + 2e-3, k
+
+
+def test_samples_are_bounded_and_whole(spark):
+    rows = [(i, f"text {i} " * (1 + i % 40), "en" if i % 3 else "fr", "s", 0) for i in range(400)] + [(1000, "long " * 5000, "en", "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    lab = d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    whole = {r[0]: r[1] for r in rows}
+    got = quality_cnn.sample(d, lab, rows=300, chars=20_000).collect()
+    assert 50 < len(got) <= 300 and sum(len(r.text) for r in got) <= 20_000 and all(r.text == whole[r.doc_id] for r in got)
+    got = langid_crf.sample(d, rows=50, letters=10_000).collect()
+    assert {r.lang for r in got} == {"en", "fr"} and sum(len(r.text) for r in got) <= 10_000 and all(r.text == whole[int(r.doc_id)] for r in got)
+    assert {r.lang for r in langid_crf.sample(d, languages=1).collect()} == {"en"}
+
+
 def test_quality_learns_and_scores_whole_texts(spark):
     base = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

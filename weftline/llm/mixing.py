@@ -8,12 +8,16 @@ The draw is a hash of the id, so it is the same wherever and whenever it runs.
 Only cells are gathered: their number is checked against ``CELLS``, below which raking is done in memory and the cells'
 figures are broadcast; above it the same steps run as aggregations and joins.
 
+``residual`` tells how far the marginals still are from their targets after the rounds.
+
 Targets default to the tokens' shares raised to a power below 1 (``TEMPER``), which lifts small sources and languages.
 The test tables have no topic; a text's form (`topic_of`) stands in for it.
 
 Defined cases: a null in a cell's column is a value of its own; a null or empty text has no tokens, weighs nothing in
 the marginals, and is sampled by its cell's probability (a value without tokens scales nothing); no tokens at all give
-weight 1 everywhere; repeated rows are all kept or all dropped; a null id draws as an empty one.
+weight 1 everywhere; given targets for values without tokens are spread over the others in proportion; repeated rows are all
+kept or all dropped; a null id draws as an empty one; a text of any length is counted whole; ties in the calibration go in
+the order of the cells; an empty table gives no rows; other columns, whatever their names, come back unchanged from ``sampled``.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, whole_row
 
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 ROUNDS, BUDGET, CELLS = 12, 0.6, 100_000
@@ -48,10 +52,11 @@ def in_cells(docs: DataFrame, dims: list[str], tokens: str = "n_tokens") -> Data
 
 
 def targets(cells: DataFrame, dim: str, given: dict[str, float] | None, temper: float) -> DataFrame:
-    """value, share of one dimension; with given targets, values that they leave out get none."""
+    """value, share of one dimension; with given targets, values that they leave out get none, and values without tokens give up theirs."""
     if given:
-        rows = [(k, float(v) / sum(given.values())) for k, v in given.items()]
-        return cells.sparkSession.createDataFrame(rows, f"{dim} string, share double")
+        there = cells.groupBy(dim).agg(F.sum("t").alias("t")).where("t > 0").select(dim)
+        own = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"`{dim}` string, p double").join(there, dim, "left_semi")
+        return own.crossJoin(F.broadcast(own.agg(F.sum("p").alias("all")))).select(dim, (F.col("p") / F.col("all")).alias("share"))
     own = cells.groupBy(dim).agg(F.sum("t").alias("t")).where("t > 0").withColumn("p", F.pow(F.col("t").cast("double"), F.lit(temper)))
     return own.crossJoin(F.broadcast(own.agg(F.sum("p").alias("all")))).select(dim, (F.col("p") / F.col("all")).alias("share"))
 
@@ -74,6 +79,18 @@ def rake_small(keys: list[tuple], t: np.ndarray, shares: list[dict], rounds: int
     return w
 
 
+def residual(keys: list[tuple], t: np.ndarray, w: np.ndarray, shares: list[dict]) -> float:
+    """The largest gap between a marginal of the weighted tokens and its target share."""
+    total = t.sum() or 1.0
+    worst = 0.0
+    for i, share in enumerate(shares):
+        have: dict = dict.fromkeys(share, 0.0)
+        for k, a, b in zip(keys, t, w, strict=True):
+            have[k[i]] = have.get(k[i], 0.0) + a * b / total
+        worst = max([worst, *(abs(x - share.get(v, 0.0)) for v, x in have.items())])
+    return worst
+
+
 def rake_large(cells: DataFrame, dims: list[str], shares: dict[str, DataFrame], rounds: int) -> DataFrame:
     """The same by aggregations and joins, for more cells than fit in memory."""
     out = cells.withColumn("w", F.lit(1.0))
@@ -133,7 +150,7 @@ def mixed(docs: DataFrame, dims: dict[str, dict[str, float] | None] | None = Non
         F.col(id_col),
         *[F.col(d) for d in dims if d != "topic"],
         n_tokens(F.col(text_col)).alias("n_tokens"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([whole_row(docs).alias("row")] if carry else []),
         F.col(text_col).alias("__text"),
     ).withColumn("topic", topic_of(F.coalesce(F.col("__text"), F.lit("")), F.col("n_tokens"))).drop("__text")
     cells, small = cell_weights(own, dims, **options)
