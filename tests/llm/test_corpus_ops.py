@@ -425,6 +425,55 @@ def test_embedded_license_statements(spark):
     assert got[6].n_matches == 2 and got[7].n_matches == 1
 
 
+def brute_licenses(text):
+    """Names and best Dice by trying all units and all runs of words."""
+    lower = (text or "").lower()
+    sets = {k: set(licenses.bigrams(v)) for k, v in licenses.TEMPLATES.items()}
+    words = lambda t: re.sub(r"[\W_]+", " ", t).split()
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a else 0
+    units = {frozenset(licenses.bigrams(u)) for u in {*lower.split("\n"), *re.split("\n[ \t\r]*\n", lower), lower}}
+    hits = [(dice(a, b), k) for a in units for k, b in sets.items() if dice(a, b) >= licenses.LEAST]
+    w = words(lower)
+    pairs = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+    for k, b in sets.items():
+        if k in {n for _, n in hits} or len(b) > licenses.INSIDE:
+            continue
+        low, _ = licenses.bounds(len(b))
+        most = math.floor((2 - licenses.LEAST) / licenses.LEAST * (len(words(licenses.TEMPLATES[k].lower())) - 1) + 1e-9)
+        at = [i for i, x in enumerate(pairs) if x in b]
+        best = 0
+        for n, i in enumerate(at):
+            ends = []
+            for m in range(n, len(at)):
+                size, count = at[m] - i + 1, m - n + 1
+                if size > most:
+                    break
+                if count >= low and 2 * count >= licenses.LEAST * (size + len(b)) - 1e-9:
+                    ends.append((2 * count / (size + len(b)), at[m]))
+            if ends:
+                best = max(best, dice(set(pairs[i : max(ends)[1] + 1]), b))
+        if best >= licenses.LEAST:
+            hits.append((best, k))
+    first = min(((-d, k) for d, k in hits), default=(None, None))
+    return first[1], None if first[0] is None else round(-first[0], 6), ",".join(sorted({k for _, k in hits})), len(hits)
+
+
+def test_licenses_against_brute_force(spark, sf):
+    rng = random.Random(13)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    apache, bsd, gpl = (licenses.TEMPLATES[f"{k}-text"] for k in ("apache-2.0", "bsd-3-clause", "gpl-3.0"))
+    junk = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(n))
+    made = [apache, apache[:8000], f"{junk(400)} {' '.join(bsd.split())} {junk(300)}", f"{junk(90)}. {' '.join(apache.split())} {junk(90)}", gpl, gpl[:3000], None, "", "Released under the MIT License. " * 200]
+    for text in (licenses.TEMPLATES["mit-text"], bsd, licenses.TEMPLATES["zlib-text"]):
+        for share in (0.03, 0.1, 0.3):
+            made.append(" ".join("other" if rng.random() < share else w for w in text.split()))
+    rows += [(100_000 + i, t) for i, t in enumerate(made)]
+    got = {r.doc_id: (r.license, r.dice, r.licenses, r.n_matches) for r in licenses.op7(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == {i: brute_licenses(t) for i, t in rows}
+    for i, name in enumerate(["apache-2.0-text", "apache-2.0-text", "bsd-3-clause-text", "apache-2.0-text", "gpl-3.0-text"]):
+        assert name in got[100_000 + i][2].split(",")
+
+
 def test_long_repetitive_text_against_brute_force(spark):
     text = "Released under the MIT License. " * 200  # one line: longer than the SQL compares
     a, b = set(licenses.bigrams(text)), set(licenses.bigrams(licenses.TEMPLATES["mit"]))
