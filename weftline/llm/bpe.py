@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes are cut where a rolling hash of the last 16 bytes meets a mask, so that a passage is cut alike
 wherever it occurs. A chunk is encoded once and then taken from a bounded cache of the worker, by a 128-bit digest of its
-bytes; the cache holds the chunks of some tens of megabytes of text. A cut may fall inside a word; so a chunk holds the
+bytes; the cache holds the chunks of 12 to 25 MB of text. A cut may fall inside a word; so a chunk holds the
 ids of what lies between its first and its last blank, and the two open ends as text. Each join is repaired by encoding
 the end before it together with the beginning after it, over further chunks until a blank closes the piece on either
 side. Blanks are where the tokenizer's own split can't be crossed (`blanks_split` checks the file for that), so after the
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import flat_utf8, map_texts
 
 WINDOW, MEAN = 16, 512  # bytes that the rolling hash sees; mean bytes between two cuts
-CHUNKS, PIECES = 40_000, 150_000  # entries of the two caches, each kept in two generations
+CHUNKS, PIECES = 25_000, 100_000  # entries of the two caches, each kept in two generations
 AT_ONCE = 2 << 20  # bytes of text
 
 

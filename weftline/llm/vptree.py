@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 K, FACTOR = 20, 0.2
 SHARD, BLOCK, LEAF = 16_384, 1 << 20, 128  # vectors in a shard, queries in a block, vectors in a leaf (unless they are alike)
-ROWS = 4096  # queries that are searched for at a time
+ROWS, SCORES = 4096, 2_000_000  # queries that are searched for at a time, scores of them that are held at a time
 SLACK = 1e-7  # distances of equal directions are rounded by so much
 
 
@@ -62,7 +62,9 @@ class Tree:
         if not len(rows):
             return
         if len(node) == 2:
-            found.add(rows, node[1])
+            step = max(1, SCORES // len(node[1]))  # vectors that no distance parts may be very many
+            for lo in range(0, len(rows), step):
+                found.add(rows[lo : lo + step], node[1])
             return
         _, vantage, middle, inside, outside = node
         d = distance(queries[rows] @ vantage)
