@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from weftline.plans import catalog
+from weftline.plans import catalog, more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -69,3 +69,39 @@ def grouped_top(a: Column, groups: int, m: int, k: int) -> Column:
     width = F.ceil(F.size(a) / groups).cast("int")
     first = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.slice(F.array_sort(F.slice(pairs, g * width + 1, width)), 1, m)))
     return F.transform(F.slice(F.array_sort(first), 1, k), lambda s: s["idx"])
+
+
+def _with(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def log_softmax(a: Column) -> Column:
+    return _with(logsumexp(a), lambda all_: F.transform(doubles(a), lambda x: x - all_))
+
+
+def _mean(a: Column) -> Column:
+    return _sum(a) / F.size(a)
+
+
+def divisive(a: Column) -> Column:
+    """The vector divided by its root mean square."""
+    scale = F.sqrt(_mean(F.transform(doubles(a), lambda x: x * x))) + 1e-6
+    return _with(scale, lambda s: F.transform(doubles(a), lambda x: x / s))
+
+
+def contrast(a: Column) -> Column:
+    """The vector without its mean, divided by its deviation."""
+    free = _with(_mean(doubles(a)), lambda m: F.transform(doubles(a), lambda x: x - m))
+    scale = lambda v: F.sqrt(_mean(F.transform(v, lambda x: x * x))) + 1e-4
+    return _with(free, lambda v: _with(scale(v), lambda s: F.transform(v, lambda x: x / s)))
+
+
+def relu(a: Column, threshold: float = 0.0) -> Column:
+    """Values above the threshold, less it; 0 for the others."""
+    return F.transform(doubles(a), lambda x: F.greatest(x - threshold, F.lit(0.0)))
+
+
+def awake(a: Column, k: int) -> Column:
+    """The k strongest values, ties at the k-th included, and 0 for the others; with k values or fewer all stay."""
+    return F.when(F.size(a) <= k, doubles(a)).otherwise(F.zip_with(doubles(a), winners(a, k), lambda x, w: x * w))

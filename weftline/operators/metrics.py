@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +127,30 @@ def layers(run: DataFrame, other: DataFrame, arrays: list[str]) -> DataFrame:
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
     rest = [c for c in run.columns if c not in arrays]
     return run.crossJoin(F.broadcast(other)).select(*rest, *other.columns, F.posexplode(zipped).alias("layer", "z")).select(*rest, *other.columns, "layer", *[F.col(f"z.{a}").alias(a) for a in arrays])
+
+
+def trends(rows: DataFrame, group: str, order: str, value: str, span: int = 60, least: float = 1e-4) -> DataFrame:
+    """group, order, value, n and mean of the last `span` values, best so far, and the trend against the value before."""
+    own = rows.where(F.col(value).isNotNull()).select(group, order, F.col(value).cast("double").alias(value))
+    by = Window.partitionBy(group).orderBy(order)
+    last, so_far = by.rowsBetween(1 - span, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    old = F.lag(value).over(by)
+    trend = F.when(old.isNull(), "none").when(F.col(value) < old - least, "down").when(F.col(value) > old + least, "up").otherwise("same")
+    return own.select(group, order, value, F.count("*").over(last).alias("n"), F.round(F.avg(value).over(last), 9).alias("mean"), F.min(value).over(so_far).alias("best"), trend.alias("trend"))
+
+
+def covariance(df: DataFrame, vec: str, size: int) -> DataFrame:
+    """i, j (i <= j) and cov of the components of vectors of one size: sums of products of each task, added up."""
+    src = df.select(F.col(vec).cast("array<double>").alias("v")).where((F.size("v") == size) & ~F.exists("v", lambda x: x.isNull()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, p = 0, np.zeros(size), np.zeros((size, size))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
+        i, j = np.triu_indices(size)
+        cols = [i, j, np.full(len(i), n), s[i], s[j], p[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["i", "j", "n", "a", "b", "p"])
+
+    part = src.mapInArrow(run, "i int, j int, n long, a double, b double, p double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nabp"])
+    return part.where("n > 0").select("i", "j", F.round(F.col("p") / F.col("n") - F.col("a") / F.col("n") * F.col("b") / F.col("n"), 9).alias("cov"))

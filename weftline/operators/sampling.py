@@ -111,21 +111,28 @@ def weighted_choice(key: Column, choices: list[tuple[str, float]]) -> Column:
 
 
 def negatives(key: Column, draw: Column, size: int) -> Column:
-    """A slot in [0, size) by an integer hash of key and draw."""
-    return F.pmod(F.xxhash64(key, draw), F.lit(size))
-
-
-def window_starts(n: int, lo: Column, hi: Column, seed: int) -> Column:
-    """n seeded start positions in [lo, hi), as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + F.pmod(F.xxhash64(F.lit(seed), i, lo), hi - lo))
-
-
-def augmented(df: DataFrame, vec: str, scale: float = 0.05) -> DataFrame:
-    """The rows and, with `copy` 1 and 2, a reversed and a slightly shifted one of each."""
-    base = df.withColumn("copy", F.lit(0))
-    flipped = df.withColumn("copy", F.lit(1)).withColumn(vec, F.reverse(vec))
-    moved = df.withColumn("copy", F.lit(2)).withColumn(vec, F.transform(vec, lambda x, i: (x + F.lit(scale) * F.sin(i.cast("double"))).cast("float")))
-    return base.unionByName(flipped).unionByName(moved)
+    """A slot in [0, size) by a hash of key and draw."""
+    return F.floor(unit_draw(F.concat_ws(":", key, draw)) * size).cast("long")
+
+
+def window_starts(n: int, key: Column, lo: Column, hi: Column, seed: int) -> Column:
+    """n start positions in [lo, hi), as an array; the seed and the key draw them."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + F.floor(unit_draw(F.concat_ws(":", F.lit(seed), key, i)) * (hi - lo)).cast("long"))
+
+
+def augmented(df: DataFrame, vec: str, id_col: str, scale: float = 0.05, turn: int = 1) -> DataFrame:
+    """The rows and, with `copy` 1 to 4, a reversed, a rotated, a smoothly shifted and a noisy one of each."""
+    v = F.col(vec).cast("array<double>")
+    noise = lambda i: 2 * unit_draw(F.concat_ws(":", F.col(id_col), i)) - 1
+    made = [
+        v,
+        F.reverse(v),
+        F.concat(F.slice(v, turn + 1, F.greatest(F.size(v) - turn, F.lit(0))), F.slice(v, 1, turn)),
+        F.transform(v, lambda x, i: x + F.lit(scale) * F.sin(i.cast("double"))),
+        F.transform(v, lambda x, i: x + F.lit(scale) * noise(i)),
+    ]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != vec]
+    return df.select(*rest, F.posexplode(F.array(*made)).alias("copy", vec))
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:

@@ -62,8 +62,10 @@ def predictions(voted: DataFrame) -> DataFrame:
     return voted.groupBy("query_id").agg(best.alias("b")).select("query_id", F.col("b.label").alias("pred"), F.col("b.p").alias("p"))
 
 
-def fused(cortex: Column, memory: Column, alpha: float) -> Column:
-    return F.lit(alpha) * cortex + F.lit(1 - alpha) * memory
+def fused(cortex: Column, memory: Column, alpha: Column | float) -> Column:
+    """alpha of the model's own and the rest of the retrieved probability."""
+    alpha = F.lit(alpha) if isinstance(alpha, float) else alpha
+    return alpha * cortex + (1 - alpha) * memory
 
 
 def adaptive_weight(best: Column, top: float = 0.30) -> Column:
@@ -94,3 +96,17 @@ def recall(codes: DataFrame, index: DataFrame, k: int) -> DataFrame:
     score = codes.join(index, "key").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum("margin").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def recalled(codes: DataFrame, index: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id, label, p and best: the vote of the documents that share keys with a query, and the best match.
+
+    codes: query_id, key, margin; labels: doc_id, label. A match is the share of the query's margins on common keys; it votes
+    with its cube. A document is no answer to itself.
+    """
+    own = codes.groupBy("query_id").agg(F.sum("margin").alias("self")).where("self > 0")
+    score = codes.join(index, "key").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum("margin").alias("score"))
+    s = F.col("score") / F.col("self")
+    votes = score.join(own, "query_id").join(labels, "doc_id").groupBy("query_id", "label").agg(F.sum(F.pow(s, F.lit(3))).alias("w"), F.max(s).alias("b"))
+    per = votes.groupBy("query_id").agg(F.sum("w").alias("mass"), F.max("b").alias("best"))
+    return votes.join(per, "query_id").select("query_id", "label", (F.col("w") / F.col("mass")).alias("p"), "best")

@@ -36,7 +36,7 @@ def length(s: DataFrame) -> DataFrame:
 
 def clamp(s: DataFrame, budget: int) -> DataFrame:
     """The stream's first `budget` tokens; a document that crosses the end is cut."""
-    keep = F.least(F.col("n"), F.lit(budget) - F.col("start"))
+    keep = F.greatest(F.least(F.col("n"), F.lit(budget) - F.col("start")), F.lit(0))
     return s.where(F.col("start") < budget).withColumn("n", keep).withColumn("tokens", F.slice("tokens", F.lit(1), F.col("n").cast("int")))
 
 

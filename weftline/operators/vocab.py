@@ -39,3 +39,15 @@ def classes(vocab: DataFrame, n_classes: int) -> DataFrame:
     per = F.ceil(F.col("v") / n_classes)
     rank = F.col("id") - 1
     return vocab.crossJoin(size).select("id", "word", "freq", F.floor(rank / per).cast("long").alias("class"), (rank % per).cast("long").alias("slot"))
+
+
+PADDING = -30.0  # fixed value: the bias of a slot without a word
+
+
+def biases(classed: DataFrame) -> DataFrame:
+    """class, slot, bias and class_bias: logarithms of frequencies plus a half, for every slot of every class; from `classes`."""
+    c = classed.groupBy("class").agg(F.log(F.sum("freq") + 0.5).alias("class_bias"))
+    width = classed.agg(F.max("slot").alias("most"))
+    grid = c.crossJoin(F.broadcast(width)).select("class", "class_bias", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("slot"))
+    got = grid.join(classed.select("class", "slot", "freq"), ["class", "slot"], "left")
+    return got.select("class", "slot", F.coalesce(F.log(F.col("freq") + 0.5), F.lit(PADDING)).alias("bias"), "class_bias")

@@ -146,8 +146,7 @@ def split_90_10(spark, sf):
 @query(f"""WITH {q.TOKENS}, c AS (SELECT pos, token, row_number() OVER (PARTITION BY token ORDER BY pos) - 1 AS k FROM tok)
 SELECT doc_id, count(*) AS n, round(sum(-ln((k + 0.1) / (c.pos + 0.1 * 4096))), 4) AS nll FROM c JOIN tok USING (pos) GROUP BY doc_id""")
 def adaptive_unigram(spark, sf):
-    s = _stream(spark, sf)
-    got = ngrams.causal_unigram(s, 0.1, 4096).join(tokens.positions(s).select("pos", "doc_id"), "pos")
+    got = ngrams.causal_unigram(_stream(spark, sf), 0.1, 4096)
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(-F.log("p")), 4).alias("nll"))
 
 
@@ -210,18 +209,20 @@ def head_to_head(spark, sf):
 
 
 def _suffix_sql(most: int) -> str:
-    ctx = [" || ' ' || ".join(f"lag(token, {k}) OVER w" for k in range(n, 0, -1)) for n in range(1, most + 1)]
-    cases = lambda src: " UNION ALL ".join(f"SELECT pos, token AS y, {n} AS len, {c} AS context FROM {src} WINDOW w AS (ORDER BY pos)" for n, c in enumerate(ctx, 1))
+    lags = ", ".join(f"lag(token, {k}) OVER w AS l{k}" for k in range(1, most + 1))
+    ctx = ", ".join(["l1 AS c1", *[f"l{n} || ' ' || c{n - 1} AS c{n}" for n in range(2, most + 1)]])
+    every = ", ".join(f"c{n}" for n in range(1, most + 1))
+    cases = lambda src: f"SELECT pos, y, unnest([{every}]) AS context, unnest(range(1, {most + 1})) AS len FROM (SELECT pos, y, {ctx} FROM (SELECT pos, token AS y, {lags} FROM {src} WINDOW w AS (ORDER BY pos)))"
     return f"""{q.TOKENS}, {q.parts('tok')},
 full_ AS MATERIALIZED (SELECT context, len, y, count(*) AS yes FROM ({cases('train')}) WHERE context IS NOT NULL GROUP BY 1, 2, 3),
 tot AS (SELECT context, len, sum(yes) AS tot FROM full_ GROUP BY 1, 2),
 hit AS (SELECT c.pos, c.y, c.len, c.context, tot FROM ({cases('test')}) c JOIN tot USING (context, len) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY c.len DESC) = 1),
-sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, coalesce(h.len, 0) AS matched, CAST(coalesce(h.tot, 0) AS BIGINT) AS tot, coalesce(f.yes, 0) AS yes,
+sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, CAST(coalesce(h.len, 0) AS INTEGER) AS matched, CAST(coalesce(h.tot, 0) AS BIGINT) AS tot, coalesce(f.yes, 0) AS yes,
   CASE WHEN h.len IS NULL THEN 1.0 / 65536 ELSE (coalesce(f.yes, 0) + 1e-6) / (h.tot + 1e-6 * 65536) END AS p
   FROM test t LEFT JOIN hit h USING (pos) LEFT JOIN full_ f ON f.context = h.context AND f.len = h.len AND f.y = t.token)"""
 
 
-@query(f"WITH {_suffix_sql(4)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
+@query(f"WITH {_suffix_sql(ngrams.MOST)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
 def infini_gram(spark, sf):
     train, test = _parts(cut(_stream(spark, sf)))
     return ngrams.longest_suffix(train, test).withColumn("p", F.round("p", 12))
@@ -230,7 +231,7 @@ def infini_gram(spark, sf):
 _UNI = "un AS (SELECT token, count(*) AS c FROM train GROUP BY 1), ut AS (SELECT count(*) AS n FROM train)"
 
 
-@query(f"""WITH {_suffix_sql(4)}, {_UNI}, l AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9]) AS lam)
+@query(f"""WITH {_suffix_sql(ngrams.MOST)}, {_UNI}, l AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9]) AS lam)
 SELECT CAST(lam AS DOUBLE) AS "lambda", count(*) AS n, round(exp(avg(-ln((1 - lam) * (coalesce(c, 0) + 0.05) / (n + 0.05 * 65536) + lam * p + 1e-30))), 6) AS ppl
 FROM sfx CROSS JOIN ut CROSS JOIN l LEFT JOIN un ON un.token = sfx.y GROUP BY lam""")
 def lambda_sweep(spark, sf):
@@ -263,9 +264,9 @@ _COOC = (
 )
 
 
-@query(f"WITH {_COOC} SELECT a, b, cnt FROM co WHERE cnt >= 3")
+@query(f"WITH {_COOC} SELECT a, b, cnt FROM co")
 def cooccurrence(spark, sf):
-    return ngrams.cooccurrences(_stream(spark, sf), 4).where("cnt >= 3")
+    return ngrams.cooccurrences(_stream(spark, sf), 4)
 
 
 @query(f"""WITH {_COOC}, m AS (SELECT a, sum(cnt) AS c FROM co GROUP BY 1), al AS (SELECT sum(cnt) AS n FROM co)
@@ -274,7 +275,7 @@ def ppmi(spark, sf):
     return ngrams.positive_pmi(ngrams.cooccurrences(_stream(spark, sf), 4)).withColumn("pmi", F.round("pmi", 6))
 
 
-@query(f"""WITH {q.TOKENS}, s AS (SELECT pos, {" || ' ' || ".join(f"coalesce(lead(token, {k}) OVER (ORDER BY pos), '')" if k else "token" for k in range(4))} AS suffix FROM tok)
+@query(f"""WITH {q.TOKENS}, s AS (SELECT pos, {" || ' ' || ".join(f"coalesce(lead(token, {k}) OVER (ORDER BY pos), '')" if k else "token" for k in range(16))} AS suffix FROM tok)
 SELECT pos, dense_rank() OVER (ORDER BY suffix) AS rank FROM s""")
 def suffix_ranks(spark, sf):
     return ngrams.suffix_ranks(_stream(spark, sf))

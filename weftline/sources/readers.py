@@ -131,6 +131,6 @@ def synthetic(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataFram
 
 def frozen_split(df: DataFrame, id_col: str, train: int, seed: int = 0) -> DataFrame:
     """The rows with `part`: the first `train` in a seeded order are train, the rest test."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)).cast("binary"))
     first = df.select(key.alias("__k"), id_col).orderBy("__k", id_col).limit(train).select(F.col(id_col).alias("__id"), F.lit(True).alias("__t"))
     return df.join(first, F.col(id_col) == F.col("__id"), "left").withColumn("part", F.when(F.col("__t"), "train").otherwise("test")).drop("__id", "__t")
