@@ -32,15 +32,16 @@ def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
 def append_until(path: str, target: int, est: str = "est") -> Callable[[DataFrame, int], None]:
     """A sink that appends rounds as Parquet until the running sum of `est` has reached the target.
 
-    A round is written under its number, so one that is run again replaces itself; the sum is read from what is there.
+    A round is written under its number, and the sum up to it beside it, so one that is run again replaces both, and a round
+    reads one row of the round before and none of the data.
     """
 
     def sink(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        have = 0
-        if number:
-            done = [f"{path}/round={k}" for k in range(number)]
-            have = spark.read.option("ignoreMissingFiles", "true").parquet(*done).agg(F.coalesce(F.sum(est), F.lit(0)).alias("s")).first().s
-        (rows if have < target else rows.limit(0)).write.mode("overwrite").parquet(f"{path}/round={number}")
+        have = spark.read.parquet(f"{path}_sums/round={number - 1}").first().s if number else 0
+        out = f"{path}/round={number}"
+        (rows if have < target else rows.limit(0)).write.mode("overwrite").parquet(out)
+        total = spark.read.parquet(out).agg((F.coalesce(F.sum(est), F.lit(0)) + have).alias("s"))
+        total.coalesce(1).write.mode("overwrite").parquet(f"{path}_sums/round={number}")
 
     return sink
