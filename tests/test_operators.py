@@ -239,3 +239,24 @@ def test_weighted_choice_and_negatives(spark):
     r = spark.range(2000).select(sampling.weighted_choice(F.col("id").cast("string"), [("a", 3), ("b", 1)]).alias("c"), sampling.negatives(F.col("id"), F.lit(1), 7).alias("n"))
     rows = r.collect()
     assert 0.7 < sum(x.c == "a" for x in rows) / 2000 < 0.8 and {x.n for x in rows} == set(range(7))
+
+
+def test_smoothed_series_of_a_long_and_a_short_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot", i * 977, float(x)) for i, x in enumerate(rng.normal(2.5, 1, 9000))] + [("one", 5, 4.0), ("none", 1, None)]
+    got = {r.g: r for r in metrics.smoothed_series(spark.createDataFrame(rows, "g string, o long, v double"), "g", "o", "v").collect()}
+    v = np.array([x for g, _, x in rows if g == "hot"])
+    ema = v[0]
+    for x in v[1:]:
+        ema = 0.85 * ema + 0.15 * x
+    hot = got["hot"]
+    assert (hot.n, hot.best) == (9000, v.min())
+    assert abs(hot.ema - ema) < 1e-6 and abs(hot.last10 - v[-10:].mean()) < 1e-6 and abs(hot.sd30 - v[-30:].std()) < 1e-4
+    assert tuple(got["one"]) == ("one", 1, 4.0, 4.0, 4.0, 0.0) and "none" not in got
+
+
+def test_head_to_head_counts_rows_by_their_times(spark):
+    rows = spark.createDataFrame([(0.5, 0.1, 3), (0.1, 0.5, 2), (0.2, 0.2, 5)], "a double, b double, m long")
+    assert tuple(metrics.head_to_head(rows, "a", "b", times="m").first()) == (10, 3, 2, 5)
+    assert tuple(metrics.head_to_head(rows, "a", "b").first()) == (3, 1, 1, 1)
+    assert tuple(metrics.head_to_head(rows.limit(0), "a", "b", times="m").first()) == (0, 0, 0, 0)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_before
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -60,11 +62,12 @@ def ensemble(voted: DataFrame) -> DataFrame:
     return s.groupBy("query_id").agg(F.max_by("label", F.struct(F.round("p", 9).alias("p"), (-F.col("label")).alias("l"))).alias("pred"))
 
 
-def head_to_head(rows: DataFrame, a: str, b: str, tolerance: float = 1.001) -> DataFrame:
-    """n, a_wins, b_wins, ties: a wins where its probability exceeds b's by more than 0.1 %."""
-    x, y = F.col(a), F.col(b)
+def head_to_head(rows: DataFrame, a: str, b: str, tolerance: float = 1.001, times: str | None = None) -> DataFrame:
+    """n, a_wins, b_wins, ties: a wins where its probability exceeds b's by more than 0.1 %; a row counts `times`, or once."""
+    x, y, m = F.col(a), F.col(b), F.col(times) if times else F.lit(1)
     wins_a, wins_b = x > y * tolerance, y > x * tolerance
-    return rows.agg(F.count("*").alias("n"), F.count_if(wins_a).alias("a_wins"), F.count_if(wins_b).alias("b_wins"), F.count_if(~wins_a & ~wins_b).alias("ties"))
+    total = lambda which: F.coalesce(F.sum(F.when(which, m)), F.lit(0)).cast("long")
+    return rows.agg(total(F.lit(True)).alias("n"), total(wins_a).alias("a_wins"), total(wins_b).alias("b_wins"), total(~wins_a & ~wins_b).alias("ties"))
 
 
 def topk(voted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -99,16 +102,18 @@ def scoreboard(rows: DataFrame) -> DataFrame:
 
 
 def smoothed_series(rows: DataFrame, group: str, order: str, value: str, keep: float = 0.85) -> DataFrame:
-    """group, n, best (smallest so far, so of all), ema (keep * old + rest * new, from the first value), mean of the last 10, deviation of the last 30."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v"))))
-    vs = F.transform(seq, lambda s: s["v"])
-    got = rows.where(F.col(value).isNotNull()).groupBy(group).agg(vs.alias("v"))
-    ema = F.aggregate("v", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(F.lit(keep) * a + F.lit(1 - keep) * x))
-    last = lambda k: F.slice("v", -F.least(F.lit(k), F.size("v")), F.lit(k))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    square = lambda a: F.transform(a, lambda x: x * x)
-    var = mean(square(last(30))) - mean(last(30)) * mean(last(30))
-    return got.select(group, F.size("v").cast("long").alias("n"), F.array_min("v").alias("best"), F.round(ema, 6).alias("ema"), F.round(mean(last(10)), 6).alias("last10"), F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 4).alias("sd30"))
+    """group, n, best (smallest so far, so of all), ema (keep * old + rest * new, from the first value), mean of the last 10, deviation of the last 30.
+
+    order: a whole number, unique in its group. The recurrence is a sum weighted by the values' places from the end, so a
+    group of any size is pre-aggregated and never gathered.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(group, (-F.col(order).cast("long")).alias("__o"), F.col(value).cast("double").alias("__x"))
+    own = running_before(own, "__o", F.lit(1), "__k", group=[group])  # how many values come later
+    x, k = F.col("__x"), F.col("__k")
+    first = F.max_by("__x", "__k")
+    steps = F.sum((1 - keep) * x * F.pow(F.lit(keep), k))
+    got = own.groupBy(group).agg(F.count("*").alias("n"), F.min("__x").alias("best"), (steps + keep * first * F.pow(F.lit(keep), F.max("__k"))).alias("ema"), F.avg(F.when(k < 10, x)).alias("last10"), F.stddev_pop(F.when(k < 30, x)).alias("sd30"))
+    return got.select(group, "n", "best", F.round("ema", 6).alias("ema"), F.round("last10", 6).alias("last10"), F.round("sd30", 4).alias("sd30"))
 
 
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:

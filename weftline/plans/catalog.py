@@ -184,7 +184,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf)
     v = cut(_vocab(s))
     train, test = _parts(cut(vocab.mapped_stream(s, v)))  # the id stream is written once, as the counts and the test read it again and again
-    return ngrams.baseline_rows(train, test, v.count() + 1, 8)
+    return ngrams.baseline_cases(train, test, v.count() + 1, 8)
 
 
 @query(f"WITH {_BASE} {_BASELINES}")
@@ -205,7 +205,7 @@ def scoreboard(spark, sf):
 
 @query(f"WITH {_BASE} SELECT count(*) AS n, count(*) FILTER (pb > pt * 1.001) AS a_wins, count(*) FILTER (pt > pb * 1.001) AS b_wins, count(*) FILTER (NOT pb > pt * 1.001 AND NOT pt > pb * 1.001) AS ties FROM scored")
 def head_to_head(spark, sf):
-    return metrics.head_to_head(_scored(spark, sf), "pb", "pt")
+    return metrics.head_to_head(_scored(spark, sf), "pb", "pt", times="times")
 
 
 def _suffix_sql(most: int) -> str:
