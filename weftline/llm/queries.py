@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid_crf, licenses, mixing, mpegts, quality_cnn, secrets, tokencount, vptree
+from . import balltree, bpe, infill, jaccard, langid_crf, licenses, mixing, mpegts, oneperm, quality_cnn, secrets, tokencount, vptree
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oneperm.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,9 +73,14 @@ QUERIES = {
         op8_token_counts,
         op9_transport_streams,
         op10_quality_cnn,
+        op11_fill_in_middle,
+        op12_one_permutation,
+        op13_ball_trees,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_secret_ownership": secrets.SQL,
     "op5_mixing_ipf": mixing.sql(),
+    "op11_fill_in_middle": infill.SQL,
+    "op13_ball_trees": balltree.sql(),
 }
