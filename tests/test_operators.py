@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.functions import vectors as V
-from weftline.operators import metrics, ngrams, sampling, similarity, tokens, vocab
+from weftline.operators import metrics, ngrams, prefix, sampling, similarity, tokens, vocab
 from weftline.operators.prefix import running_before
 from weftline.plans import catalog
 
@@ -34,19 +34,38 @@ def literal_round_robin(draws):
     return out
 
 
-def test_round_robin_phases():
+def test_round_robin_places():
     rng = random.Random(1)
     for _ in range(300):
         draws = [(f"s{i}", rng.choice([0, 1, 2, 5, 9, 30])) for i in range(rng.randint(1, 7))]
-        place = {}
-        for name, lo, hi, base, off, width in sampling.phases(draws):
-            for k in range(lo, hi):
-                place[base + off + width * (k - lo)] = name
+        phases, place = sampling.leavings(np.array([n for _, n in draws])), {}
+        for i, (name, n) in enumerate(draws):
+            place.update(dict.fromkeys(sampling.places(phases, i, np.arange(n)).tolist(), name))
         assert [place[i] for i in sorted(place)] == literal_round_robin(draws)
         assert sorted(place) == list(range(len(place)))
     assert "".join(n[1] for n in literal_round_robin([("s0", 5), ("s1", 2), ("s2", 7), ("s3", 1)])) == "012301220202022"
 
 
+def test_round_robin_rows(spark):
+    draws = [("a", 4), ("none", 0), ("b", 9), ("c", 1)]
+    rows = [(name, k, "x") for name, n in draws for k in range(n)] + [("other", 0, "x"), (None, 0, "x")]
+    df = spark.createDataFrame(rows, "name string, nth long, size string").repartition(3)
+    got = sampling.round_robin(df, [n for n, _ in draws]).orderBy("place").collect()
+    assert [r.name for r in got] == literal_round_robin(draws)
+    assert [r.place for r in got] == list(range(14)) and sampling.round_robin(df.limit(0), ["a"]).count() == 0
+
+
+def test_round_robin_of_very_many_sources():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 40, 100_000)
+    phases = sampling.leavings(counts)
+    assert sorted(phases["who"].tolist()) == list(range(100_000))
+    assert phases["turn"][-1] == counts.sum() - phases["rounds"][-1] + 99_999
+    some = rng.choice(100_000, 60, replace=False)
+    seen = np.concatenate([sampling.places(phases, int(i), np.arange(counts[i])) for i in some])
+    assert len(np.unique(seen)) == len(seen) and seen.max() < counts.sum()
+
+
 @pytest.mark.parametrize(
     ("n", "want"),
     [(1, []), (2, [(0, 2, 1)]), (10, [(0, 10, 9)]), (513, [(0, 512, 511), (256, 513, 1)]), (1000, [(0, 512, 511), (256, 768, 256), (512, 1000, 232)])],
@@ -56,15 +75,35 @@ def test_strided(spark, n, want):
     assert [tuple(r) for r in got] == want
 
 
-def test_running_before_over_buckets(spark):
+@pytest.mark.parametrize("span", [1000, 1 << 62])
+def test_running_before_over_ranges(spark, span):
     rng = random.Random(2)
-    rows = [(g, i, rng.randint(0, 9)) for g in "ab" for i in sorted(rng.sample(range(1000), 60))]
+    rows = [(g, i - span // 2, rng.randint(0, 9)) for g in ("a", "b", None) for i in sorted(rng.sample(range(span), 60))]
     df = spark.createDataFrame(rows, "g string, i long, v int")
-    got = {(r.g, r.i): r.s for r in running_before(df, "i", F.col("v"), "s", ["g"], bucket=16).collect()}
+    got = {(r.g, r.i): r.s for r in running_before(df, "i", F.col("v"), "s", ["g"], rows=16).collect()}
     for g, i, _ in rows:
         assert got[g, i] == sum(v for h, j, v in rows if h == g and j < i)
 
 
+def test_running_before_with_repeated_orders(spark):
+    rng = random.Random(3)
+    orders = [5] * 400 + [rng.choice([1, 2, 2**40, -(2**50), None]) for _ in range(200)] + list(range(10, 200))
+    rows = [(o, k, rng.randint(1, 5)) for k, o in enumerate(orders)]
+    df = spark.createDataFrame(rows, "o long, k long, v int").repartition(3)
+    cuts = prefix.bounds(df, "o", 32)
+    assert 3 < cuts.count(5) < 16  # the repeated order is several ranges
+    parts = prefix.ranged(df, "o", cuts, F.xxhash64("k"), "b").groupBy("b").count()
+    assert parts.agg(F.max("count")).first()[0] < 150
+    got = running_before(df, "o", F.col("v"), "s", rows=32, tie=F.xxhash64("k")).collect()
+    got.sort(key=lambda r: r.s)
+    keys = [float("inf") if r.o is None else r.o for r in got]
+    assert keys == sorted(keys)
+    total = 0
+    for r in got:
+        assert r.s == total
+        total += r.v
+
+
 def test_stream_blocks_and_contexts(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(30)]

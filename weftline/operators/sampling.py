@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import approx_tokens, md5_mod, unit_draw
 from .prefix import running_before
 
-MOST_SOURCES = 10_000
+MOST_SOURCES = 1_000_000
 
 
 def holdout(convs: DataFrame, key: Column, mod: int = 500) -> DataFrame:
@@ -37,46 +42,85 @@ def quota_sample(docs: DataFrame, quotas: DataFrame) -> DataFrame:
     """
     has = F.col("text").isNotNull() & (F.col("text") != "")
     rows = docs.withColumn("est", F.when(has, approx_tokens(F.col("text"))).otherwise(0))
-    rows = running_before(rows, "seq", F.col("est"), "before", group=["name"])
+    rows = running_before(rows, "seq", F.col("est"), "before", group=["name"], tie=F.xxhash64("text"))
     return rows.join(F.broadcast(quotas.select("name", "quota")), "name").where(F.col("before") < F.col("quota"))
 
 
-def phases(draws: list[tuple[str, int]]) -> list[tuple[str, int, int, int, int, int]]:
-    """(name, from, to, base, offset, width): a source's draws from..to-1 come at base + offset + width * (draw - from).
+def leavings(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The phases of a round robin over sources with so many draws, in their order; each ends as one source leaves.
 
-    Sources take turns in the given order. A source leaves when its turn comes and it has nothing left, which shifts the
-    cycle of those behind it. Between two leavings the cycle is regular, so each phase is one row for each source.
+    Sources take turns. A source leaves when its turn comes and it has nothing left, which shifts the cycle of those behind
+    it. Between two leavings the cycle is regular, so a phase is one row: who leaves, how many sources take part, at which
+    of their places the phase starts, how many whole rounds it has, the place of the one who leaves, and the turns before it.
     """
-    active, left, used, out, base, turn = [n for n, _ in draws], dict(draws), dict.fromkeys((n for n, _ in draws), 0), [], 0, 0
-    while active:
-        k = len(active)
-        offset = {n: (i - turn) % k for i, n in enumerate(active)}
-        end, gone = min((left[n] * k + offset[n], n) for n in active)
-        for n in active:
-            count = max(0, -(-(end - offset[n]) // k))
-            if count:
-                out.append((n, used[n], used[n] + count, base, offset[n], k))
-                used[n] += count
-                left[n] -= count
-        active.remove(gone)
-        base, turn = base + end, turn + end + 1
+    left, who = counts.astype(np.int64), np.arange(len(counts))
+    out = {k: np.zeros(len(counts), np.int64) for k in ("who", "size", "first", "rounds", "gone", "turn")}
+    turn = 0
+    for p in range(len(counts)):
+        size = len(left)
+        first, rounds = turn % size, int(left.min())
+        least = np.flatnonzero(left == rounds)
+        k = int(np.searchsorted(least, first))
+        gone = int(least[k % len(least)])  # the next in the cycle of those with the least left
+        for name, x in (("who", who[gone]), ("size", size), ("first", first), ("rounds", rounds), ("gone", gone), ("turn", turn)):
+            out[name][p] = x
+        if rounds:
+            left -= rounds
+        if gone >= first:  # those whose turn comes before it have one more
+            left[first:gone] -= 1
+        else:
+            left[first:] -= 1
+            left[:gone] -= 1
+        turn += rounds * size + (gone - first) % size + 1
+        left, who = np.delete(left, gone), np.delete(who, gone)
     return out
 
 
+def places(phases: dict[str, np.ndarray], source: int, nth: np.ndarray) -> np.ndarray:
+    """The position in the interleaved order of a source's draws."""
+    last = int(np.flatnonzero(phases["who"] == source)[0])  # the phase that ends as it leaves
+    part = {k: v[: last + 1] for k, v in phases.items()}
+    before = np.r_[0, np.cumsum(part["who"][:-1] < source)]  # sources in front of it that have left
+    offset = (source - before - part["first"]) % part["size"]
+    draws = part["rounds"] + (offset < (part["gone"] - part["first"]) % part["size"])
+    drawn = np.r_[0, np.cumsum(draws)[:-1]]
+    p = np.searchsorted(drawn, nth, "right") - 1
+    return part["turn"][p] + offset[p] + (nth - drawn[p]) * part["size"][p] - p
+
+
 def round_robin(drawn: DataFrame, order_of: list[str]) -> DataFrame:
-    """The rows with `place`, their position in the interleaved order; drawn: name, nth (from 0 in its source)."""
+    """The rows with `place`, their position in the interleaved order; drawn: name, nth (from 0 in its source).
+
+    What is known of all sources is one count each and a row for each leaving; places are computed where the rows are.
+    Rows of other sources than those named are left out.
+    """
+    counted = drawn.groupBy("name").agg(F.count("*").alias("n")).where(F.col("name").isNotNull())
     if len(order_of) > MOST_SOURCES:
         raise ValueError(f"at most {MOST_SOURCES} sources")
-    have = {r.name: r.n for r in drawn.groupBy("name").agg(F.count("*").alias("n")).where(F.col("name").isin(order_of)).collect()}
-    table = drawn.sparkSession.createDataFrame(phases([(n, have.get(n, 0)) for n in order_of]), "p_name string, lo long, hi long, base long, off long, width long")
-    same = (F.col("name") == F.col("p_name")) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))
-    got = drawn.join(F.broadcast(table), same)
-    return got.withColumn("place", F.col("base") + F.col("off") + F.col("width") * (F.col("nth") - F.col("lo"))).drop("p_name", "lo", "hi", "base", "off", "width")
+    have = {r.name: r.n for r in counted.join(F.broadcast(drawn.sparkSession.createDataFrame([(n,) for n in order_of], "name string")), "name", "left_semi").collect()}
+    number = {n: i for i, n in enumerate(order_of)}
+    phases = drawn.sparkSession.sparkContext.broadcast(leavings(np.array([have.get(n, 0) for n in order_of], np.int64)))
+    schema = T.StructType([*drawn.schema.fields, T.StructField("place", T.LongType())])
+    at = {c: drawn.columns.index(c) for c in ("name", "nth")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = b.column(at["name"]).dictionary_encode()
+            ids, nth = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), b.column(at["nth"]).to_numpy(zero_copy_only=False)
+            out = np.full(b.num_rows, -1, np.int64)
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                if name in number:
+                    mine = ids == k
+                    out[mine] = places(phases.value, number[name], nth[mine])
+            rows = pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=schema.fieldNames())
+            yield rows.filter(pa.array(out >= 0))
+
+    return drawn.mapInArrow(run, schema)
 
 
 def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
     """nth: the row's number in its group, from 0."""
-    return running_before(df, order, F.lit(1), "nth", group=[group])
+    return running_before(df, order, F.lit(1), "nth", group=[group], tie=F.xxhash64(*df.columns))
 
 
 def class_subset(df: DataFrame, cls: str, classes: list) -> DataFrame:

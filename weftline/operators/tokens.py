@@ -16,12 +16,12 @@ BLOCK = 4096
 
 
 def stream(docs: DataFrame, separator: str | None = None, tokens: Column | None = None) -> DataFrame:
-    """doc_id, tokens, n, start; with a separator after each document if one is given. Documents are in the order of doc_id."""
+    """doc_id, tokens, n, start; with a separator after each document if one is given. Documents are in the order of doc_id; those that share one, in that of a hash of their tokens."""
     t = words(F.col("text")) if tokens is None else tokens
     if separator is not None:
         t = F.concat(t, F.array(F.lit(separator)))
     rows = docs.select("doc_id", t.alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
-    return running_before(rows, "doc_id", F.col("n"), "start")
+    return running_before(rows, "doc_id", F.col("n"), "start", tie=F.xxhash64("tokens"))
 
 
 def positions(s: DataFrame) -> DataFrame:
