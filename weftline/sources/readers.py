@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import records
+
 TURNS = "struct<messages:array<struct<role:string,content:string>>,category:string>"
 
 
@@ -35,12 +33,13 @@ def jsonl(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def jsonl_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """The same of files, with their path; no pattern gives no rows."""
+    """The same of files, with their path, in the order of the paths and of the lines in each; no pattern gives no rows."""
     if not patterns:
         return spark.createDataFrame([], "messages array<struct<role:string,content:string>>, category string, path string")
-    rows = spark.read.text(patterns).select("value", F.input_file_name().alias("path"))
-    got = rows.where(F.trim("value") != "").select(F.from_json("value", TURNS).alias("r"), "path")
-    return got.where(F.size("r.messages") > 0).select("r.messages", "r.category", "path")
+    rows = spark.read.text(patterns).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    got = rows.where(F.trim("value") != "").select(F.from_json("value", TURNS).alias("r"), "path", "block", "row")
+    got = got.where(F.size("r.messages") > 0).select("r.messages", "r.category", "path", "block", "row")
+    return got.orderBy("path", "block", "row").drop("block", "row")
 
 
 def plain_text(spark: SparkSession, path: str) -> DataFrame:
@@ -66,37 +65,22 @@ def reusable(spark: SparkSession, path: str, want: dict[str, object], schema: st
     return all(row.get(k) == v for k, v in want.items() if k != "train_tokens") and (row.get("train_tokens") or 0) >= want.get("train_tokens", 0)
 
 
-def token_files(spark: SparkSession, path: str, dtype: str = "uint32") -> DataFrame:
-    """path, pos, token of headerless token files; a rest shorter than a token is ignored. Long, as uint32 has no signed type."""
-    size = np.dtype(dtype).itemsize
-    src = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p, c in zip(b.column(0), b.column(1), strict=True):
-                raw = c.as_buffer()
-                t = np.frombuffer(raw, dtype, len(raw) // size).astype(np.int64)
-                for lo in range(0, len(t), 1 << 20):
-                    part = t[lo : lo + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p.as_py()] * len(part)), pa.array(np.arange(lo, lo + len(part))), pa.array(part)], names=["path", "pos", "token"])
+def token_files(spark: SparkSession, path: str, dtype: str = "uint32", range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """path, pos (in its file), id (through all files, by path) and token of headerless token files; a rest shorter than a token is ignored.
 
-    return src.mapInArrow(run, "path string, pos long, token long")
+    Files are read in ranges. Long, as uint32 has no signed type.
+    """
+    return records.records(spark, path, dtype=dtype, range_bytes=range_bytes).withColumnRenamed("value", "token")
 
 
-def images(spark: SparkSession, path: str, pixels: int) -> DataFrame:
-    """id, x (floats from 0 to 1) of a file of 8-bit pixels; a size that isn't a multiple fails."""
-    src = spark.read.format("binaryFile").load(path).select("content")
+def images(spark: SparkSession, path: str, pixels: int, range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """id, x (floats from 0 to 1) of files of 8-bit pixels, numbered through all files; a size that isn't a multiple fails."""
+    return records.records(spark, path, dtype="uint8", width=pixels, scale=255, rest="fail", range_bytes=range_bytes).select("id", F.col("values").alias("x"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(0):
-                raw = np.frombuffer(c.as_buffer(), np.uint8)
-                if len(raw) % pixels:
-                    raise ValueError(f"{len(raw)} bytes are no multiple of {pixels}")
-                x = (raw.reshape(-1, pixels) / np.float32(255)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "x"])
 
-    return src.mapInArrow(run, "id long, x array<float>")
+def labels(spark: SparkSession, path: str, range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """id, label of files of 8-bit labels, numbered as the images beside them are."""
+    return records.records(spark, path, dtype="uint8", range_bytes=range_bytes).select("id", F.col("value").cast("int").alias("label"))
 
 
 def test_split(stream: DataFrame, most: int) -> DataFrame:

@@ -29,6 +29,11 @@ def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     return q
 
 
+def replace_round(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each round as Parquet under its number, so that one which is run again replaces itself."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/round={number}")
+
+
 def append_until(path: str, target: int, est: str = "est") -> Callable[[DataFrame, int], None]:
     """A sink that appends rounds as Parquet until the running sum of `est` has reached the target.
 
