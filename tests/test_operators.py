@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.functions import vectors as V
-from weftline.operators import metrics, ngrams, prefix, sampling, similarity, tokens, vocab
+from weftline.operators import metrics, ngrams, prefix, sampling, similarity, suffixes, tokens, vocab
 from weftline.operators.prefix import running_before
 from weftline.plans import catalog
 
@@ -135,7 +135,7 @@ def test_longest_suffix_against_backoff(spark):
     flat[650] = "end"
     s = tokens.stream(docs(spark, " ".join(flat)))
     p = tokens.split(s)
-    got = ngrams.longest_suffix(p.where("part = 'train'"), p.where("part = 'test'"), 4).orderBy("pos").collect()
+    got = suffixes.longest_suffix(p.where("part = 'train'"), p.where("part = 'test'"), 4).orderBy("pos").collect()
     train, test = flat[:630], flat[630:]
     seen = {}
     for r in got:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.schedules import cosine_anneal, inverse_decay, warmup_steps
 from ..functions.text import approx_tokens, clock, safe_name, unit_draw
-from ..operators import chat, metrics, ngrams, sampling, similarity, tokens, vocab
-from ..operators.lineage import cut
+from ..operators import chat, metrics, ngrams, sampling, similarity, suffixes, tokens, vocab
+from ..operators.lineage import cut, scratch
 from ..sources.readers import jsonl, table
 from . import sqltext as q
 
@@ -222,25 +222,28 @@ sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, CAST(coalesce(h.len, 0) AS INTE
   FROM test t LEFT JOIN hit h USING (pos) LEFT JOIN full_ f ON f.context = h.context AND f.len = h.len AND f.y = t.token)"""
 
 
-@query(f"WITH {_suffix_sql(ngrams.MOST)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
+@query(f"WITH {_suffix_sql(suffixes.MOST)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
 def infini_gram(spark, sf):
-    train, test = _parts(cut(_stream(spark, sf)))
-    return ngrams.longest_suffix(train, test).withColumn("p", F.round("p", 12))
+    train, test = _parts(_stream(spark, sf))
+    return suffixes.longest_suffix(train, test).withColumn("p", F.round("p", 12))
 
 
 _UNI = "un AS (SELECT token, count(*) AS c FROM train GROUP BY 1), ut AS (SELECT count(*) AS n FROM train)"
 
 
-@query(f"""WITH {_suffix_sql(ngrams.MOST)}, {_UNI}, l AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9]) AS lam)
+@query(f"""WITH {_suffix_sql(suffixes.MOST)}, {_UNI}, l AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.9]) AS lam)
 SELECT CAST(lam AS DOUBLE) AS "lambda", count(*) AS n, round(exp(avg(-ln((1 - lam) * (coalesce(c, 0) + 0.05) / (n + 0.05 * 65536) + lam * p + 1e-30))), 6) AS ppl
 FROM sfx CROSS JOIN ut CROSS JOIN l LEFT JOIN un ON un.token = sfx.y GROUP BY lam""")
 def lambda_sweep(spark, sf):
-    train, test = _parts(cut(_stream(spark, sf)))
-    rows = ngrams.longest_suffix(train, test).select("y", F.col("p").alias("pg"))
-    uni = train.select(F.explode("tokens").alias("y")).groupBy("y").agg(F.count("*").alias("c"))
-    total = F.broadcast(train.agg(F.sum("n").alias("total")))
+    train, test = _parts(_stream(spark, sf))
+    folder = scratch(spark, "suffixes")
+    got = suffixes.longest_suffix(train, test, folder=folder)
+    rows = got.groupBy("y", F.col("p").alias("pg")).agg(F.count("*").alias("times"))
+    own = suffixes.index(spark, f"{folder}/train").select(F.expr("slice(tokens, low + 1, size(tokens))").alias("tokens"))  # the index again
+    uni = own.select(F.explode("tokens").alias("y")).groupBy("y").agg(F.count("*").alias("c"))
+    total = F.broadcast(own.agg(F.sum(F.size("tokens")).alias("total")))
     pb = (F.coalesce("c", F.lit(0)) + 0.05) / (F.col("total") + 0.05 * 65536)
-    return ngrams.sweep(rows.join(uni, "y", "left").crossJoin(total).withColumn("pb", pb), "pb", "pg")
+    return ngrams.sweep(rows.join(uni, "y", "left").crossJoin(total).withColumn("pb", pb), "pb", "pg", times="times")
 
 
 @query(f"""WITH {q.TOKENS}, {q.parts('tok')}, {_UNI},
