@@ -7,15 +7,21 @@ intersection. A second exact bound spares most texts: a unit that reaches t shar
 it must hold at least one of some words (``anchors``); a text without any can't match.
 
 A statement may also be part of a line or paragraph, or run over several. So templates that no unit reaches are looked
-for in runs of words of the whole text that begin and end with a bigram of the template: for each beginning the end with
-the largest Dice, bigrams counted as often as they occur, and the Dice of the sets decides. Such a template counts as one match.
-Templates of more than ``INSIDE`` bigrams, the longest license texts, are compared with lines, paragraphs and whole texts only.
+for in runs of words of the whole text. The places of a template's bigrams in the text form blocks of neighbours. A run
+begins where a block begins and ends where one ends, as a bigram more of the template always brings a run nearer to it: for
+each beginning that enough bigrams follow closely, the end with the largest Dice, bigrams counted as often as they occur;
+in a block that is longer than any match, which is a text that repeats itself, as many words as the template has. The Dice
+of the sets decides. Such a template counts as one match.
 
-Templates are short statements, notices, and whole license texts (the files in ``license_texts``). All of it is expressions
-within a row: nothing shuffles, and templates are constants of the plan.
+A match must also hold one of the template's version numbers, if it has any (``versions``), so that a notice of one version is
+not taken for another's. Of several matches the longest template names the license.
 
-Defined cases: null and empty texts, and texts of one word, match nothing; ties go to the smaller name; repeated rows get
-equal rows; texts and units of any length are compared whole; an empty table gives no rows; a kept column that is named as a
+Templates are short statements, notices, and whole license texts (the files in ``license_texts``); they are a small table,
+which is broadcast, as are their bigrams. Only texts with an anchor word are looked into, and of these what is shuffled is the
+places of templates' bigrams, and once more the texts of which some template has enough places. All of it is JVM expressions.
+
+Defined cases: null and empty texts, and texts of one word, match nothing; of templates of one length the larger Dice names the
+license, then the smaller name; repeated rows get equal rows; texts and units of any length are compared whole; an empty table gives no rows; a kept column that is named as a
 result gives way to it.
 """
 
@@ -26,14 +32,14 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import unused
 
 LEAST = 0.8
-INSIDE = 1700  # bigrams of the longest template that is also looked for inside lines and paragraphs
 LONG = 300  # bigrams of a text whose anchors are chosen by how many bigrams they are in
+NUMBERED = {"by", "license", "nc", "sa", "v", "version"}  # words that a version number follows
 COMMON = {"by", "from", "in", "is", "of", "on", "or", "the", "this", "to", "under", "with"}  # anchors of the last resort
 
 # Public license statements, notices and permission paragraphs.
@@ -115,83 +121,102 @@ def _words(lower: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _strings(values: list[str]) -> Column:
-    """A constant array."""
-    return F.split(F.lit("\n".join(values)), "\n")
-
-
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _inside(words: Column, sets: dict[str, list[str]], lengths: dict[str, int], least: float) -> Column:
-    """Best dice and name of each template that a run of words of the text reaches."""
-    pair = lambda w, i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))
-    span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    every = sorted({x for b in sets.values() for x in b})
+def versions(b: list[str]) -> list[str]:
+    """The bigrams that give a version: a number behind one of a few words."""
+    return [x for x in b if x.split()[0] in NUMBERED and x.split()[1].isdigit()]
+
+
+def _pairs(words: Column) -> Column:
+    """All bigrams of an array of words, in their order."""
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+
+
+def _best_run(h: Column, pairs: Column, t: Column, least: float) -> Column:
+    """The largest Dice of a run of the text's bigrams with template t; h: the places of the template's bigrams, ascending."""
+    n = F.size(h)
+    place = lambda k: F.element_at(h, k)
+    size = lambda k, e: place(e) - place(k) + 1
+    gain = lambda k, i: 2.0 * k - least * i
 
-    def of(name: str, w: Column, at: Column) -> Column:
-        b, most = sets[name], math.floor((2 - least) / least * lengths[name] + 1e-9)
-        need = math.ceil(least / (2 - least) * len(b) - 1e-9)  # a run that reaches `least` shares so many bigrams
-        own = F.transform(F.filter(at, lambda x: x["g"].isin(b)), lambda x: x["i"])
+    def end(k: Column) -> Column:
+        ends = F.sequence(k + t["lo"] - 1, F.least(n, k + t["most"] - 1))
+        fits = F.filter(ends, lambda e: (size(k, e) <= t["most"]) & ((e == n) | (place(e + 1) != place(e) + 1)) & (2.0 * (e - k + 1) >= least * (size(k, e) + t["n"]) - 1e-9))
+        best = F.array_max(F.transform(fits, lambda e: F.struct((2.0 * (e - k + 1) / (size(k, e) + t["n"])).alias("d"), place(e).alias("to"))))
+        long = (k + t["most"] <= n) & (place(k + t["most"]) == place(k) + t["most"])  # the block goes on beyond any match
+        return F.struct(place(k).alias("a"), F.when(long, place(k) + t["length"] - 1).otherwise(best["to"]).alias("to"))
 
-        def search(h: Column) -> Column:
-            def end(i: Column) -> Column:
-                size = lambda j: F.element_at(h, j) - F.element_at(h, i) + 1
-                ends = F.filter(span(i + need - 1, F.least(F.size(h), i + most - 1)), lambda j: (size(j) <= most) & (2.0 * (j - i + 1) >= least * (size(j) + len(b)) - 1e-9))
-                best = F.array_max(F.transform(ends, lambda j: F.struct((2.0 * (j - i + 1) / (size(j) + len(b))).alias("d"), F.element_at(h, j).alias("to"))))
-                # without so many hits within the longest run there is no end to look for
-                return F.struct(F.element_at(h, i).alias("a"), F.when(size(i + need - 1) <= most, best["to"]).alias("to"))
+    def dice(r: Column) -> Column:
+        own = F.array_distinct(F.slice(pairs, r["a"], r["to"] - r["a"] + 1))
+        return F.when(F.arrays_overlap(own, t["v"]), 2.0 * F.size(F.array_intersect(own, t["b"])) / (F.size(own) + t["n"]))
 
-            runs = F.filter(F.transform(span(F.lit(1), F.size(h) - (need - 1)), end), lambda r: r["to"].isNotNull())
-            got = F.transform(runs, lambda r: F.array_distinct(F.transform(F.sequence(r["a"], r["to"]), lambda i: pair(w, i))))
-            lit = _strings(b)
-            return F.array_max(F.transform(got, lambda a: 2.0 * F.size(F.array_intersect(a, lit)) / (F.size(a) + len(b))))
+    # behind a beginning so many hits must be within the longest run, and some end must reach `least`: from one of a few places
+    # to the next, a run comes nearer by no more than if all between were hits
+    step = F.greatest(F.lit(1), F.floor((t["most"] - t["lo"]) / 16).cast("int"))
+    near = lambda k: F.exists(F.sequence(k + t["lo"] - 1, F.least(n, k + t["most"] - 1), step), lambda e: gain(e, place(e)) + (2 - least) * step >= gain(k - 1, place(k) - 1) + least * t["n"] - 1e-9)
+    starts = F.filter(F.sequence(F.lit(1), n - (t["lo"] - 1)), lambda k: ((k == 1) | (place(k - 1) != place(k) - 1)) & (size(k, k + t["lo"] - 1) <= t["most"]) & near(k))
+    runs = F.filter(F.transform(starts, end), lambda r: r["to"].isNotNull())
+    return F.array_max(F.transform(runs, dice))
 
-        return F.struct(_bound(own, search).alias("dice"), F.lit(name).alias("name"))
 
-    def found(w: Column) -> Column:
-        at = F.transform(span(F.lit(1), F.size(w) - 1), lambda i: F.struct(i.alias("i"), pair(w, i).alias("g")))
-        return _bound(F.filter(at, lambda x: x["g"].isin(every)), lambda at: F.array(*[of(name, w, at) for name in sets]))
+def _inside(texts: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """id and inside: the templates that a run of words of a text reaches, as (n, dice, name); texts: id, pairs, names (found already)."""
+    small = F.broadcast(known)  # a row for each template
+    grams = F.broadcast(known.select(F.explode("b").alias("g"), "name").groupBy("g").agg(F.collect_list("name").alias("of")))  # and for each of their bigrams
+    hits = texts.select("id", "names", F.posexplode("pairs").alias("i", "g")).join(grams, "g")
+    hits = hits.select("id", (F.col("i") + 1).alias("i"), F.explode(F.array_except("of", "names")).alias("name")).groupBy("id", "name").agg(F.sort_array(F.collect_list("i")).alias("h"))
+    hits = hits.join(small, "name").where(F.size("h") >= F.col("t.lo"))
+    got = hits.join(texts.select("id", "pairs"), "id").select("id", "name", F.col("t.n").alias("n"), _best_run(F.col("h"), F.col("pairs"), F.col("t"), least).alias("dice"))
+    return got.where(F.col("dice") >= least).groupBy("id").agg(F.collect_list(F.struct("n", "dice", "name")).alias("inside"))
 
-    return F.filter(_bound(words, found), lambda x: x["dice"] >= least)
+
+def _known(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
+    """name, b and t (sizes, bounds and sets) of each template that has a bigram."""
+    rows = []
+    for k, v in sorted(templates.items()):
+        b, length = bigrams(v), len(re.sub(r"[\W_]+", " ", v.lower()).split()) - 1
+        if b:
+            low, high = bounds(len(b), least)
+            rows.append((k, b, (k, len(b), low, high, length, math.floor((2 - least) / least * length + 1e-9), b, versions(b) or b)))
+    return spark.createDataFrame(rows, "name string, b array<string>, t struct<name:string,n:int,lo:int,hi:int,length:int,most:int,b:array<string>,v:array<string>>")
 
 
 def matched(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, license and dice (the best match, null if none), licenses (all names found, joined) and n_matches."""
+    """`keep`, license and dice (of the longest template that matches, null if none), licenses (all names found, joined) and n_matches."""
     templates = templates or TEMPLATES
-    sets = {k: bigrams(v) for k, v in templates.items()}
-    sets = {k: v for k, v in sorted(sets.items()) if v}
+    known = _known(docs.sparkSession, templates, least)
     held = F.array(*[F.lit(w) for w in anchors(templates, least)])
-    spread = [bounds(len(v), least) for v in sets.values()]
+    spread = [bounds(len(b), least) for b in map(bigrams, templates.values()) if b]
     low, high = min(x for x, _ in spread), max(x for _, x in spread)
-    lower = F.lower("__text")
-    units = F.array_distinct(F.concat(F.split(lower, "\n"), F.split(lower, "\n[ \t\r]*\n"), F.array(lower)))
+    keep = [c for c in keep if c not in ("license", "dice", "licenses", "n_matches")]
+    names = [unused("__kept", docs.columns) + str(i) for i in range(len(keep))]
+    got = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__text"))
+    got = got.withColumn("__words", _words(F.col("__text"))).withColumn("__may", F.arrays_overlap("__words", held))
+
+    texts = got.where("__may").withColumn("id", F.monotonically_increasing_id())
+    units = F.array_distinct(F.concat(F.split("__text", "\n"), F.split("__text", "\n[ \t\r]*\n"), F.array("__text")))
     # as many words less one are the most bigrams there can be
     split = F.filter(F.transform(units, _words), lambda w: (F.size(w) > low) & F.arrays_overlap(w, held))
-    sets_of = F.transform(split, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))))
-    sets_of = F.array_distinct(F.filter(sets_of, lambda a: (F.size(a) >= low) & (F.size(a) <= high)))
-    known = F.array(*[F.struct(F.lit(k).alias("name"), _strings(v).alias("b"), F.lit(bounds(len(v), least)[0]).alias("lo"), F.lit(bounds(len(v), least)[1]).alias("hi")) for k, v in sets.items()])
+    sets_of = F.array_distinct(F.filter(F.transform(split, lambda w: F.array_distinct(_pairs(w))), lambda a: (F.size(a) >= low) & (F.size(a) <= high)))
 
     def against(a: Column) -> Column:
-        fits = F.filter(known, lambda t: (F.size(a) >= t["lo"]) & (F.size(a) <= t["hi"]))
-        return F.transform(fits, lambda t: F.struct((2.0 * F.size(F.array_intersect(a, t["b"])) / (F.size(a) + F.size(t["b"]))).alias("dice"), t["name"].alias("name")))
-
-    hits = F.filter(F.flatten(F.transform(sets_of, against)), lambda h: h["dice"] >= least)
-    within = {k: v for k, v in sets.items() if len(v) <= INSIDE}
-    lengths = {k: len(re.sub(r"[\W_]+", " ", templates[k].lower()).split()) - 1 for k in within}
-    inside = _inside(F.col("__words"), within, lengths, least)
-    hits = _bound(hits, lambda own: F.concat(own, F.filter(inside, lambda x: ~F.exists(own, lambda h: h["name"] == x["name"]))))
-    none = F.array().cast("array<struct<dice:double,name:string>>")
-    keep = [c for c in keep if c not in ("license", "dice", "licenses", "n_matches")]
-    names = [unused("__kept", docs.columns) + str(i) for i in range(len(keep))]
-    got = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    got = got.withColumn("__words", _words(F.lower("__text")))
-    got = got.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.when(F.arrays_overlap("__words", held), hits).otherwise(none).alias("__hits"))
-    best = F.array_sort("__hits", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    return got.withColumn("__best", F.try_element_at(best, F.lit(1))).select(
-        *[F.col(f"`{c}`") for c in keep],
+        fits = F.filter("known", lambda t: (F.size(a) >= t["lo"]) & (F.size(a) <= t["hi"]) & F.arrays_overlap(a, t["v"]))
+        return F.transform(fits, lambda t: F.struct(t["n"].alias("n"), (2.0 * F.size(F.array_intersect(a, t["b"])) / (F.size(a) + t["n"])).alias("dice"), t["name"].alias("name")))
+
+    texts = texts.crossJoin(F.broadcast(known.agg(F.collect_list("t").alias("known"))))  # one row, of so many templates
+    texts = texts.select("id", *names, _pairs(F.col("__words")).alias("pairs"), F.filter(F.flatten(F.transform(sets_of, against)), lambda h: h["dice"] >= least).alias("own"))
+    inside = _inside(texts.select("id", "pairs", F.transform("own", lambda h: h["name"]).alias("names")), known, least)
+    none = F.array().cast("array<struct<n:int,dice:double,name:string>>")
+    found = texts.select("id", *names, "own").join(inside, "id", "left").select(*names, F.concat("own", F.coalesce("inside", none)).alias("__hits"))
+    every = found.unionByName(got.where(~F.col("__may")).select(*names, none.alias("__hits")))
+    order = lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    best = F.try_element_at(F.array_sort("__hits", order), F.lit(1))
+    return every.withColumn("__best", best).select(
+        *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
         F.col("__best.name").alias("license"),
         F.round(F.col("__best.dice"), 6).alias("dice"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["name"]))), ",").alias("licenses"),
