@@ -358,6 +358,34 @@ def test_default_factor_with_unequal_norms(norms):
     assert sum(len({v for _, v in sorted(near[q])[:k]} & {v for v, _ in w}) for q, w in want.items()) / (k * len(want)) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["latent 8", "latent 4, equal norms", "latent 2", "two dimensions", "random walk", "clusters of latent 3"])
+def test_recall_with_few_intrinsic_dimensions(kind):
+    rng = np.random.default_rng(12)
+    n, k, shards = 6000, 20, 3
+    latent = lambda d: rng.normal(size=(n, d)) @ rng.normal(size=(d, 64))
+    if kind.startswith("latent"):
+        x = latent(int(kind.split()[1].strip(",")))
+        if "equal" in kind:
+            x /= np.linalg.norm(x, axis=1)[:, None]
+    elif kind == "two dimensions":
+        x = rng.normal(size=(n, 2))
+    elif kind == "random walk":
+        x = np.cumsum(rng.normal(size=(n, 64)), 0)
+    else:
+        x = latent(3) + 4 * rng.normal(size=(20, 64))[rng.integers(0, 20, n)]
+    ids = np.arange(n)
+    size = x.shape[1]
+    part = lambda rows: pa.table({"vec_id": ids[rows], "mark": np.zeros(len(rows), np.int64), "dim": np.full(len(rows), size), "v": pa.array(list(x[rows]), pa.list_(pa.float64()))})
+    near = defaultdict(list)
+    for s in range(shards):
+        shard = vptree.Shard(part(ids[s::shards]))
+        for b in shard.search(part(ids[::20]), k):
+            for r in b.to_pylist():
+                near[r["query_id"]].append((-r["score"], r["vec_id"]))
+    want = exact(x, ids, k)
+    assert sum(len({v for _, v in sorted(near[q])[:k]} & {v for v, _ in w}) for q, w in want.items()) / (k * len(want)) > 0.9
+
+
 def test_an_id_may_have_several_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (20, [3.0, 1.0])], "vec_id long, embedding array<double>")
     got = defaultdict(list)

@@ -6,7 +6,10 @@ of norm M or less that beats the score s of the k-th neighbour so far has a cosi
 bounds how far its direction is from the query's, for each node by the node's own M. A search enters the side that a query
 lies on, then the other one unless the triangle inequality shows that nothing there is near enough: unless |distance -
 median| exceeds ``factor`` times that bound. Nodes whose M is too small for s are left out. With factor 1 that is exact; a
-smaller one prunes more.
+smaller one prunes more. How small it may be depends on the data: of few intrinsic dimensions, distances vary, and a factor
+that is right for many dimensions loses neighbours. So unless a factor is given, each shard finds its own: it asks for the
+neighbours of ``SAMPLE`` of its vectors, compares them with the exact ones, and takes the first of ``FACTORS`` that finds
+``RECALL`` of them; the last is 1.
 
 Each shard is one stream of rows in one task: its vectors come first, and its tree is built of them once; then the queries
 come, batch by batch, and each gets its k nearest there. Only very many queries are dealt into blocks (of ``BLOCK``), for
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, FACTOR = 20, 0.2
+FACTORS, RECALL, SAMPLE = (FACTOR, 0.3, 0.4, 0.55, 0.75, 1.0), 0.97, 128  # tried in a shard, the share to be found, and its vectors that ask
 SHARD, BLOCK, LEAF = 16_384, 1 << 20, 128  # vectors in a shard, queries in a block, vectors in a leaf (unless they are alike)
 ROWS, SCORES = 4096, 2_000_000  # queries that are searched for at a time, scores of them that are held at a time
 SLACK = 1e-7  # distances of equal directions are rounded by so much
@@ -125,19 +129,39 @@ class Shard:
 
     def __init__(self, rows: pa.Table):
         self.trees: dict[int, tuple[np.ndarray, list[np.ndarray], Tree]] = {}
+        self.factors: dict[tuple[int, int], float] = {}
         for dim, x, own in by_length(rows):
             norms = np.linalg.norm(x, axis=1)
             self.trees[dim] = x, own, Tree(x / norms[:, None], norms)
 
-    def search(self, queries: pa.Table, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    def calibrated(self, dim: int, k: int) -> float:
+        """The smallest factor of FACTORS with which a sample of the shard finds RECALL of its k nearest here (equal scores count)."""
+        x, own, tree = self.trees[dim]
+        rows = np.sort(np.random.default_rng(7).choice(len(x), min(SAMPLE, len(x)), replace=False))
+        asking, norm = [o[rows] for o in own], tree.norms[rows]
+        exact = Found(x[rows], asking, x, own, k, norm)
+        for lo in range(0, len(rows), 16):
+            exact.add(np.arange(lo, min(lo + 16, len(rows))), np.arange(len(x)))
+        have = np.isfinite(exact.score)
+        worst = np.where(have, exact.score, np.inf).min(1, keepdims=True)
+        for factor in FACTORS[:-1]:
+            found = Found(x[rows], asking, x, own, k, norm)
+            tree.visit(tree.root, x[rows] / norm[:, None], np.arange(len(rows)), found, factor)
+            if (np.isfinite(found.score) & (found.score >= worst)).sum() >= RECALL * have.sum():
+                return factor
+        return FACTORS[-1]
+
+    def search(self, queries: pa.Table, k: int, factor: float | None = None) -> Iterator[pa.RecordBatch]:
         """query_id, mark, vec_id, score of the k nearest here of each query."""
         for dim, q, asking in by_length(queries):
             if dim not in self.trees:
                 continue
             x, own, tree = self.trees[dim]
+            if factor is None and (dim, k) not in self.factors:
+                self.factors[dim, k] = self.calibrated(dim, k)
             norm = np.linalg.norm(q, axis=1)
             found = Found(q, asking, x, own, k, norm)
-            tree.visit(tree.root, q / norm[:, None], np.arange(len(q)), found, factor)
+            tree.visit(tree.root, q / norm[:, None], np.arange(len(q)), found, self.factors[dim, k] if factor is None else factor)
             r, c = np.nonzero(found.at >= 0)
             at = found.at[r, c]
             cols = [asking[0][r], asking[1][r], own[0][at], np.einsum("ij,ij->i", q[r], x[at])]
@@ -153,7 +177,7 @@ def by_length(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, list[np.ndarray
         yield int(dim), v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), [part.column(c).to_numpy() for c in ("vec_id", "mark")]
 
 
-def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+def searched(batches: Iterator[pa.RecordBatch], k: int, factor: float | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard and block, vectors (not `ask`) before queries: search each shard as its queries come."""
     at, held, shard = None, [], None
     for b in batches:
@@ -184,7 +208,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return got.groupBy("vec_id", "v").agg(F.lit(1).alias("__one")).select("vec_id", F.xxhash64("v").alias("mark"), "v", F.size("v").cast("long").alias("dim"))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score and mark of the k nearest that are found for each query; is_query: a condition on vec_id."""
     own = usable(rows, id_col, vec_col)
     size = own.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
