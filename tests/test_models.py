@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import classmodel, generation, learners, scoring, tokens, vocab
+from weftline.operators import classmodel, generation, learners, metrics, relay, sampling, scoring, tokens, vocab
 from weftline.operators.lineage import cut
+from weftline.plans import catalog, models  # noqa: F401
 from weftline.sources import readers, records
 from weftline.streaming import incremental, learning
 
@@ -279,3 +280,64 @@ def test_windows_score_each_target_once(spark, n):
     assert sum(r.nll for r in seen) == sum(range(1, n))
     flat = scoring.strided_losses(s, scoring.SCORERS["uniform"](s, size=16), 12, 4)
     assert scoring.perplexity(flat).first().ppl == (None if n < 2 else 16.0)
+
+
+# ---- relays, series, orders
+
+
+def test_relays_find_what_is_alike(spark):
+    rng = random.Random(7)
+    base = [{f"k{rng.randrange(5000)}": rng.randint(1, 4) for _ in range(60)} for _ in range(60)]
+    codes = {2 * i: c for i, c in enumerate(base)}
+    for i, c in enumerate(base):  # a likeness of each: a few keys replaced
+        keep = dict(list(c.items())[rng.randint(0, 4) :])
+        codes[2 * i + 1] = keep | {f"n{rng.randrange(5000)}": 1 for _ in range(rng.randint(0, 3))}
+    df = spark.createDataFrame([(d, k, m) for d, c in codes.items() for k, m in c.items()], "doc_id long, key string, margin long").repartition(5)
+    bits = lambda k: int(hashlib.md5(k.encode()).hexdigest(), 16)
+
+    def vector(c):
+        out = np.zeros(128)
+        for k, m in c.items():
+            words = [(bits(k) >> (96 - 32 * g)) & 0xFFFFFFFF for g in range(4)]
+            out += [m if words[j // 32] >> (j % 32) & 1 else -m for j in range(128)]
+        return out
+
+    v = {d: vector(c) for d, c in codes.items()}
+    for r in relay.relayed(df).collect():
+        assert np.allclose(r.relay, v[r.doc_id] * math.sqrt(128) / (np.linalg.norm(v[r.doc_id]) + 1e-6))
+    got = relay.near(df, F.col("doc_id") % 2 == 0, 5).collect()
+    found = {(r.query_id, r.doc_id): r.cos for r in got}
+    for (a, b), c in found.items():
+        assert a != b and abs(c - v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])) < 1e-8
+    alike = [i for i in range(60) if v[2 * i] @ v[2 * i + 1] / np.linalg.norm(v[2 * i]) / np.linalg.norm(v[2 * i + 1]) > 0.95]
+    assert len(alike) > 10 and np.mean([(2 * i, 2 * i + 1) in found for i in alike]) > 0.9
+
+
+def test_relays_agree_with_overlap(spark, sf):
+    best = {r.query_id: r.doc_id for r in catalog.QUERIES["overlap_recall"](spark, sf).where("rank = 1").collect()}
+    got = {(r.query_id, r.doc_id) for r in catalog.QUERIES["relay_recall"](spark, sf).where("cos > 0.9").collect()}
+    asked = {a for a, _ in got}
+    assert asked and np.mean([(a, best[a]) in got for a in asked]) >= 0.9
+
+
+@pytest.mark.parametrize("size", [4096, 70])
+def test_trends_over_parts(spark, size):
+    rng = random.Random(9)
+    rows = [(g, i * 3, rng.choice([1.0, 2.0, 3.0, None])) for g, n in (("a", 400), ("b", 61), (None, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(4)
+    got = {(r.g, r.i): r for r in metrics.trends(df, "g", "i", "v", size=size).collect()}
+    for g in ("a", "b", None):
+        own = [(i, v) for h, i, v in rows if h == g and v is not None]
+        for k, (i, v) in enumerate(own):
+            last = [x for _, x in own[max(0, k - 59) : k + 1]]
+            r = got.pop((g, i))
+            assert (r.n, r.best) == (len(last), min(x for _, x in own[: k + 1])) and abs(r.mean - sum(last) / len(last)) < 1e-8
+            assert r.trend == ("none" if not k else "down" if v < own[k - 1][1] else "up" if v > own[k - 1][1] else "same")
+    assert not got
+
+
+def test_shuffled_is_a_seeded_permutation(spark):
+    df = spark.range(500).withColumnRenamed("id", "i")
+    a, b = ([r.i for r in sampling.shuffled(df.repartition(k), "i", 3).orderBy("place").collect()] for k in (1, 6))
+    assert a == b and sorted(a) == list(range(500)) and a != sorted(a)
+    assert [r.place for r in sampling.shuffled(df, "i", 4).orderBy("place").collect()] == list(range(500))

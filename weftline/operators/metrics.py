@@ -134,14 +134,32 @@ def layers(run: DataFrame, other: DataFrame, arrays: list[str]) -> DataFrame:
     return run.crossJoin(F.broadcast(other)).select(*rest, *other.columns, F.posexplode(zipped).alias("layer", "z")).select(*rest, *other.columns, "layer", *[F.col(f"z.{a}").alias(a) for a in arrays])
 
 
-def trends(rows: DataFrame, group: str, order: str, value: str, span: int = 60, least: float = 1e-4) -> DataFrame:
-    """group, order, value, n and mean of the last `span` values, best so far, and the trend against the value before."""
+def trends(rows: DataFrame, group: str, order: str, value: str, span: int = 60, least: float = 1e-4, size: int = 4096) -> DataFrame:
+    """group, order, value, n and mean of the last `span` values, best so far, and the trend against the value before.
+
+    A group is cut into parts of `size` rows, and a part gets the last `span` rows of the one before, so that a long series
+    is many tasks; the best of the parts before comes from one row for each.
+    """
     own = rows.where(F.col(value).isNotNull()).select(group, order, F.col(value).cast("double").alias(value))
-    by = Window.partitionBy(group).orderBy(order)
+    own = running_before(own, order, F.lit(1), "__k", group=[group]).withColumn("__b", F.floor(F.col("__k") / size))
+    after = own.where(F.col("__k") % size >= size - span).withColumn("__b", F.col("__b") + 1)
+    both = own.withColumn("__own", F.lit(True)).unionByName(after.withColumn("__own", F.lit(False)))
+    by = Window.partitionBy(group, "__b").orderBy("__k")
     last, so_far = by.rowsBetween(1 - span, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     old = F.lag(value).over(by)
     trend = F.when(old.isNull(), "none").when(F.col(value) < old - least, "down").when(F.col(value) > old + least, "up").otherwise("same")
-    return own.select(group, order, value, F.count("*").over(last).alias("n"), F.round(F.avg(value).over(last), 9).alias("mean"), F.min(value).over(so_far).alias("best"), trend.alias("trend"))
+    got = both.select(group, order, value, "__b", "__own", F.count("*").over(last).alias("n"), F.round(F.avg(value).over(last), 9).alias("mean"), F.min(F.when(F.col("__own"), F.col(value))).over(so_far).alias("__m"), trend.alias("trend")).where("__own")
+    parts = own.groupBy(group, "__b").agg(F.min(value).alias("__p"))
+    earlier = F.min("__p").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), earlier.alias("__e"))
+    got = got.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
+    return got.select(group, order, value, "n", "mean", F.least("__m", "__e").alias("best"), "trend")
+
+
+def run_report(rows: DataFrame, kind: str, ok: Column) -> DataFrame:
+    """kind, tried, accepted, failed and rate (accepted of those tried)."""
+    got = rows.groupBy(kind).agg(F.count("*").alias("tried"), F.count_if(F.coalesce(ok, F.lit(False))).alias("accepted"))
+    return got.select(kind, "tried", "accepted", (F.col("tried") - F.col("accepted")).alias("failed"), F.round(F.col("accepted") / F.col("tried"), 9).alias("rate"))
 
 
 def covariance(df: DataFrame, vec: str, size: int) -> DataFrame:

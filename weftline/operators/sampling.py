@@ -179,6 +179,12 @@ def augmented(df: DataFrame, vec: str, id_col: str, scale: float = 0.05, turn: i
     return df.select(*rest, F.posexplode(F.array(*made)).alias("copy", vec))
 
 
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """The rows with `place`, their number in the order of a key, from 0; equal keys by a hash of the row."""
+    return running_before(df, key, F.lit(1), "place", tie=F.xxhash64(*df.columns))
+
+
 def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """The rows in a seeded order that doesn't depend on how they are stored."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+    """The rows with `place` in a seeded order that doesn't depend on how they are stored."""
+    key = unit_draw(F.concat_ws(":", F.lit(seed), F.col(id_col)))
+    return placed(df.withColumn("__key", key), "__key").drop("__key")

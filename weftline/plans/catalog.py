@@ -453,8 +453,9 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where(_QUERY).select(F.col("vec_id").alias("query_id"), F.col("label").cast("int").alias("label"))
 
 
-def _pred(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return _truth(spark, sf).join(similarity.predictions(similarity.votes(_near(spark, sf), k)), "query_id")
+def _pred(spark: SparkSession, sf: str, k: int, near: DataFrame | None = None) -> DataFrame:
+    near = _near(spark, sf) if near is None else near
+    return _truth(spark, sf).join(similarity.predictions(similarity.votes(near, k)), "query_id")
 
 
 def _classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -509,7 +510,8 @@ def confusion(spark, sf):
 SELECT count(*) AS n, count(*) FILTER (x = y) AS agree, count(*) FILTER (x = label AND y = label) AS both_right, count(*) FILTER (x <> label AND y <> label) AS both_wrong,
 count(*) FILTER (x = label AND y <> label) AS a_only, count(*) FILTER (x <> label AND y = label) AS b_only, count(*) FILTER (x <> y) AS disagree FROM j""")
 def agreement(spark, sf):
-    return metrics.agreement(_pred(spark, sf, 1), _pred(spark, sf, 10))
+    near = cut(_near(spark, sf))  # searched once for both
+    return metrics.agreement(_pred(spark, sf, 1, near), _pred(spark, sf, 10, near))
 
 
 _EXPERTS = f"{_PRED}, {_votes_sql(1, 'pred1')}, {_votes_sql(15, 'pred15')}, ex AS (SELECT 1 AS expert, query_id, label, pred FROM pred1 UNION ALL SELECT 10, query_id, label, pred FROM pred10 UNION ALL SELECT 15, query_id, label, pred FROM pred15)"
@@ -517,16 +519,16 @@ _EXPERTS = f"{_PRED}, {_votes_sql(1, 'pred1')}, {_votes_sql(15, 'pred15')}, ex A
 
 @query(f"WITH {_EXPERTS} SELECT a.expert AS a, b.expert AS b, round(avg(CASE WHEN a.expert = b.expert THEN CAST(a.pred = a.label AS INTEGER) ELSE CAST(a.pred = b.pred AS INTEGER) END), 9) AS agree FROM ex a JOIN ex b ON a.query_id = b.query_id AND a.expert <= b.expert GROUP BY 1, 2")
 def pairwise_agreement(spark, sf):
-    ex = None
+    ex, near = None, cut(_near(spark, sf))
     for k in (1, 10, 15):
-        part = _pred(spark, sf, k).select(F.lit(k).alias("expert"), "query_id", "label", "pred")
+        part = _pred(spark, sf, k, near).select(F.lit(k).alias("expert"), "query_id", "label", "pred")
         ex = part if ex is None else ex.unionByName(part)
     return metrics.committee(ex)
 
 
 @query(f"WITH {_EXPERTS}, a AS (SELECT * FROM v1 UNION ALL SELECT * FROM v10 UNION ALL SELECT * FROM v15), s AS (SELECT query_id, label, sum(p) AS p FROM a GROUP BY 1, 2) SELECT query_id, label AS pred FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, label) = 1")
 def ensemble_vote(spark, sf):
-    near = _near(spark, sf)
+    near = cut(_near(spark, sf))
     voted = similarity.votes(near, 1).unionByName(similarity.votes(near, 10)).unionByName(similarity.votes(near, 15))
     return metrics.ensemble(voted)
 
@@ -594,9 +596,10 @@ def ema_series(spark, sf):
 
 
 @query("""SELECT CAST(i AS BIGINT) AS step, round(1e-5 + 0.5 * (3e-3 - 1e-5) * (1 + cos(pi() * least(1.0, i / 100.0))), 12) AS anneal, round(0.1 / (1 + 0.5 * i), 12) AS decay,
-CAST(greatest(1, round_even(0.03 * i, 0)) AS BIGINT) AS warmup, printf('%d:%02d:%02d', i * 97 // 3600, i * 97 % 3600 // 60, i * 97 % 60) AS clock, 'run_' || i || '_a' AS name FROM range(0, 120) t(i)""")
+CAST(greatest(1, round_even(0.03 * i, 0)) AS BIGINT) AS warmup, printf('%d:%02d:%02d', i * 97 // 3600, i * 97 % 3600 // 60, i * 97 % 60) AS clock, 'run_' || i || '_a' AS name FROM (SELECT event_id AS i FROM events)""")
 def schedules(spark, sf):
-    r = spark.range(120).withColumnRenamed("id", "step")
+    """Rates and clocks of the steps that events stand for."""
+    r = table(spark, sf, "events").select(F.col("event_id").alias("step"))
     s = F.col("step")
     return r.select("step", F.round(cosine_anneal(s, 100, 3e-3, 1e-5), 12).alias("anneal"), F.round(inverse_decay(s, 0.1, 0.5), 12).alias("decay"), warmup_steps(0.03, s).alias("warmup"), clock(s * 97).alias("clock"), safe_name(F.concat(F.lit("run/"), s.cast("string"), F.lit(":a"))).alias("name"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classmodel, generation, learners, metrics, scoring, tokens, vocab
+from ..operators import chat, classmodel, generation, learners, metrics, relay, sampling, scoring, similarity, vocab
 from ..operators.lineage import cut, scratch
 from ..sources import readers, records
 from ..sources.readers import table
 from ..streaming import incremental, learning
 from . import sqltext as q
-from .catalog import _MEMORY, _QUERY, _classes, _docs, _parts, _stream, _vocab, query
+from .catalog import _KEYWORDS, _MEMORY, _QUERY, _classes, _docs, _keywords, _parts, _replies, _stream, _vocab, query
 
 _CASES = f"""{q.TOKENS}, cs AS (SELECT doc_id, (i - 1) // 256 AS chunk, x, y FROM (SELECT doc_id, i, token AS y, lag(token) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM tok) WHERE i >= 1),
 g AS (SELECT doc_id, chunk, x, y, count(*) AS n FROM cs GROUP BY ALL),
@@ -148,3 +148,33 @@ def scored_windows(spark, sf):
     _, train, test = _ids(spark, sf)
     got = scoring.strided_losses(test, scoring.SCORERS["unigram"](train), 512, 256)
     return got.select("begin", "scored", F.round("nll", 4).alias("nll"))
+
+
+@query(f"""WITH {_KEYWORDS}, cd AS (SELECT kw.doc_id, key, margin FROM kw JOIN post USING (key, doc_id)),
+hx AS (SELECT doc_id, margin, [{", ".join(f"CAST('0x' || substr(md5(key), {8 * g + 1}, 8) AS BIGINT)" for g in range(4))}] AS h FROM cd),
+sj AS (SELECT doc_id, j, sum(CASE WHEN (h[j // 32 + 1] >> (j % 32)) & 1 = 1 THEN margin ELSE -margin END) AS s FROM hx, range(0, 128) t(j) GROUP BY 1, 2),
+rl AS MATERIALIZED (SELECT doc_id, list(CAST(s AS DOUBLE) ORDER BY j) AS s FROM sj GROUP BY 1), bd AS MATERIALIZED (SELECT doc_id, j // 16 AS band, sum(CASE WHEN s >= 0 THEN 1 << CAST(j % 16 AS INTEGER) ELSE 0 END) AS value FROM sj GROUP BY 1, 2),
+pr AS (SELECT DISTINCT a.doc_id AS query_id, b.doc_id FROM bd a JOIN bd b USING (band, value) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id),
+cs AS (SELECT query_id, pr.doc_id, round(list_dot_product(a.s, b.s) / (sqrt(list_dot_product(a.s, a.s)) * sqrt(list_dot_product(b.s, b.s))), 9) AS cos FROM pr JOIN rl a ON a.doc_id = query_id JOIN rl b ON b.doc_id = pr.doc_id)
+SELECT query_id, rank, doc_id, cos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank FROM cs) WHERE rank <= 5""")
+def relay_recall(spark, sf):
+    """The five documents whose relays are nearest to each twentieth's, by the keywords that the postings hold."""
+    k = _keywords(spark, sf)
+    codes = k.join(similarity.postings(k).select("key", "doc_id"), ["key", "doc_id"])
+    return relay.near(cut(codes), F.col("doc_id") % 20 == 0, 5)
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {q.unit_draw("'5:' || doc_id")}, doc_id) - 1 AS place FROM documents")
+def shuffled_rows(spark, sf):
+    """Each document's place in a seeded order, without a sort in one task."""
+    return sampling.shuffled(_docs(spark, sf).select("doc_id"), "doc_id", 5)
+
+
+@query(f"""WITH {q.CLEAN}, r AS (SELECT conv_id, count(*) AS turns, bool_and(role IN ('system', 'user', 'assistant', 'tool')) AS known FROM conversations GROUP BY 1),
+k AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS a FROM clean GROUP BY 1),
+o AS (SELECT CAST(conv_id % 4 AS BIGINT) AS kind, conv_id % 4 <> 3 AND turns >= 2 AND known AND coalesce(a, 0) > 0 AS ok FROM r LEFT JOIN k USING (conv_id))
+SELECT kind, count(*) AS tried, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / CAST(count(*) AS DOUBLE), 9) AS rate FROM o GROUP BY 1""")
+def reply_report(spark, sf):
+    """How many replies of each kind of wrapping were tried, accepted and lost."""
+    rows = _replies(spark, sf).select(F.pmod("conv_id", F.lit(4)).alias("kind"), chat.parsed(F.col("reply")).alias("m"))
+    return metrics.run_report(rows, "kind", F.col("m").isNotNull())
