@@ -345,6 +345,71 @@ def test_streams_round_trip(n):
     assert es.pts == [k * 4096 * 90_000 // 8000 for k in range(es.units)] and es.random_access == [k % 8 == 0 for k in range(es.units)]
 
 
+def literal_crc(data):
+    c = 0xFFFFFFFF
+    for byte in data:
+        for k in range(7, -1, -1):
+            top = (c >> 31) ^ (byte >> k & 1)
+            c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return c
+
+
+def literal_stream(data):
+    """A reader by the standard's tables, packet by packet: elementary bytes, timestamps, and places of random-access points."""
+    assert len(data) % 188 == 0
+    counters, sections, pes, stamps, points, programs, es = {}, {}, [], [], [], {}, None
+    for at in range(0, len(data), 188):
+        p = data[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80
+        pid, begins, has, counter = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] >> 4 & 3, p[3] & 15
+        if pid == 0x1FFF:
+            continue
+        body, access = p[4:], False
+        if has & 2:
+            access = body[0] > 0 and bool(body[1] & 0x40)
+            body = body[1 + body[0] :]
+        if not has & 1:
+            continue
+        assert counters.get(pid, (counter - 1) % 16) == (counter - 1) % 16
+        counters[pid] = counter
+        if pid == 0 or pid in programs.values():
+            assert begins
+            section = body[1 + body[0] :]
+            section = section[: 3 + ((section[1] & 15) << 8 | section[2])]
+            assert literal_crc(section) == 0
+            sections[pid] = section
+            if pid == 0:
+                programs = {section[i] << 8 | section[i + 1]: (section[i + 2] & 0x1F) << 8 | section[i + 3] for i in range(8, len(section) - 4, 4)}
+            else:
+                i = 12 + ((section[10] & 15) << 8 | section[11])
+                es = (section[i + 1] & 0x1F) << 8 | section[i + 2]
+        elif pid == es:
+            if begins:
+                assert body[:3] == b"\x00\x00\x01"
+                pes.append(b"")
+                if access:
+                    points.append(len(pes) - 1)
+            pes[-1] += body
+    out = b""
+    for unit in pes:
+        length = unit[4] << 8 | unit[5]
+        assert not length or length == len(unit) - 6
+        if unit[7] & 0x80:
+            s = unit[9:14]
+            stamps.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | (s[2] >> 1) << 15 | s[3] << 7 | s[4] >> 1)
+        out += unit[9 + unit[8] :]
+    return out, stamps, points
+
+
+@pytest.mark.parametrize("n", [64, 128, 4096, 4160, 40_000, 200_000])
+def test_streams_against_a_literal_reader(n):
+    payload = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+    out, stamps, points = literal_stream(bytes(mpegts.mux(payload)))
+    assert out == payload.tobytes()
+    assert len(stamps) == -(-n // mpegts.UNIT) and all(b - a == mpegts.UNIT * mpegts.CLOCK // mpegts.RATE for a, b in zip(stamps, stamps[1:], strict=False))
+    assert points == list(range(0, len(stamps), mpegts.RAP_EVERY))
+
+
 def test_damaged_streams_are_noticed():
     body = np.arange(20_000, dtype=np.uint32).astype(np.uint8)
     ts = bytearray(mpegts.mux(body))

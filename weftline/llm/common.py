@@ -108,7 +108,8 @@ def map_texts(
 
     `make` runs once per task; its function gets about `most` bytes of text at a time, as a string array that may hold
     nulls. A kept column that is named as a computed one is left out: the result has the computed one. A table without rows
-    gives none.
+    gives none. The session's bound on the bytes of an Arrow batch is lowered to BATCH_BYTES and stays so, as the plan reads it
+    when it runs.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b").removesuffix("b")) > BATCH_BYTES:

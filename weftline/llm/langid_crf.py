@@ -6,7 +6,7 @@ distribution. A text's language is the one with the largest mean marginal (ties:
 
 Words are maximal runs of letters, in lower case. Training takes a bounded sample of learnable rows, each with its whole
 text: of each language the rows of the smallest hashes that fit into ``ROWS`` rows and its part of ``LETTERS`` characters
-(a row that would go beyond is passed over); of more than ``LANGUAGES`` languages the most frequent are learned. Pieces of several
+(the first row that would go beyond, and those behind it, are left out); of more than ``LANGUAGES`` languages the most frequent are learned. Pieces of several
 languages are spliced into one sequence, as in code-switched text, so that transitions are learned.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from all texts are

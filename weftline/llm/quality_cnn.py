@@ -5,7 +5,8 @@ embeddings are max-pooled; a small layer turns the pooled values into one logit,
 weighted by their lengths, average to the logit of its probability.
 
 Training takes a bounded sample of the labelled rows that are not held out, each with its whole text: those of the smallest
-hashes, at most ``SAMPLE`` of them and ``SAMPLE_CHARS`` characters in all (a row that would go beyond is passed over).
+hashes, at most ``SAMPLE`` of them and ``SAMPLE_CHARS`` characters in all (the first row that would go beyond, and
+those behind it, are left out).
 
 Defined cases: null and empty texts are one chunk without bytes; a document with several different labels, a null label or
 no label is not learnt from; of rows that share a labelled id the one with the smallest hash of its text is; no labels at all
