@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space at both ends, words as runs of ASCII letters, and the characters that names keep.
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+WORD = "[A-Za-z]+"
+UNSAFE = "[^A-Za-z0-9_.-]"
 
 
 def words(text: Column) -> Column:
     """Runs of ASCII letters, then in lower case: lowering first would turn a Kelvin sign into a letter."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
 
 
 def strip(text: Column) -> Column:
@@ -33,7 +36,7 @@ def md5_mod(text: Column, mod: int) -> Column:
 
 def safe_name(text: Column) -> Column:
     """A name with everything but letters, digits, ``_``, ``.`` and ``-`` as ``_``."""
-    return F.regexp_replace(text, "[^A-Za-z0-9_.-]", "_")
+    return F.regexp_replace(text, UNSAFE, "_")
 
 
 def unit_draw(text: Column) -> Column:

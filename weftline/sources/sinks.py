@@ -36,5 +36,5 @@ def scoreboard(ranked: DataFrame, path: str, reference: float | None = None) ->
 def detokenized(rows: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """The rows with `text`: their ids' words joined by blanks."""
     keys = [c for c in rows.columns if c != ids]
-    each = rows.select(*keys, F.posexplode(ids).alias("__i", "id")).join(F.broadcast(vocab.select("id", "word")), "id", "left")
+    each = rows.select(*keys, F.posexplode(ids).alias("__i", "id")).join(vocab.select("id", "word"), "id", "left")
     return each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("word", F.lit("<unk>")).alias("w")))), lambda s: s["w"]), " ").alias("text"))
