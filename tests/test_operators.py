@@ -146,6 +146,31 @@ def test_longest_suffix_against_backoff(spark):
     assert got[21].matched == 0  # behind "end" there is no longer context with a successor
 
 
+def test_a_stored_index_answers_more_than_one_question(spark, tmp_path):
+    """Blocks of a stream of several thousand tokens, one of them in half of all places."""
+    rng = random.Random(6)
+    flat = ["the" if rng.random() < 0.5 else rng.choice("abcdefghij") for _ in range(11_000)]
+    flat[10_000:10_040] = flat[4_080:4_120]  # across two blocks
+    s = tokens.stream(docs(spark, *[" ".join(flat[k : k + 700]) for k in range(0, 11_000, 700)]))
+    p = tokens.split(s)
+    for name in ("train", "test"):
+        suffixes.write_index(p.where(f"part = '{name}'"), f"{tmp_path}/{name}")
+    train, test = flat[:9_900], flat[9_900:]
+    places = {}
+    for i in range(len(train)):
+        for n in range(1, 17):
+            if i + n < len(train):
+                places.setdefault(tuple(train[i : i + n]), []).append(train[i + n])
+    for most in (2, 16):
+        got = suffixes.longest(*[suffixes.index(spark, f"{tmp_path}/{name}") for name in ("train", "test")], most).orderBy("pos").collect()
+        assert len(got) == 1100
+        for r in got:
+            known = [n for n in range(1, most + 1) if n <= r.pos and tuple(test[r.pos - n : r.pos]) in places]
+            after = places[tuple(test[r.pos - max(known) : r.pos])] if known else []
+            assert (r.matched, r.tot, r.yes, r.y) == (max(known, default=0), len(after), after.count(test[r.pos]), test[r.pos])
+    assert max(r.matched for r in got) == 16
+
+
 def test_registered_longest_suffix_looks_up_16_tokens(spark, tmp_path):
     rng = random.Random(5)
     flat = [rng.choice("abcdef") for _ in range(600)]
