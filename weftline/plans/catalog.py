@@ -50,6 +50,14 @@ def _parts(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.where("part = 'train'"), p.where("part = 'test'")
 
 
+def _stored_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The same, with the stream made once and written."""
+    path = scratch(spark, "parts")
+    tokens.split(_stream(spark, sf)).write.parquet(path)
+    p = spark.read.schema("part string, doc_id long, start long, tokens array<string>, n long").parquet(path)
+    return p.where("part = 'train'"), p.where("part = 'test'")
+
+
 def _convs(spark: SparkSession, sf: str) -> DataFrame:
     return chat.conversations(table(spark, sf, "conversations"))
 
@@ -224,7 +232,7 @@ sfx AS MATERIALIZED (SELECT t.pos, t.token AS y, CAST(coalesce(h.len, 0) AS INTE
 
 @query(f"WITH {_suffix_sql(suffixes.MOST)} SELECT pos, y, matched, tot, yes, round(p, 12) AS p FROM sfx")
 def infini_gram(spark, sf):
-    train, test = _parts(_stream(spark, sf))
+    train, test = _stored_parts(spark, sf)
     return suffixes.longest_suffix(train, test).withColumn("p", F.round("p", 12))
 
 
@@ -235,7 +243,7 @@ _UNI = "un AS (SELECT token, count(*) AS c FROM train GROUP BY 1), ut AS (SELECT
 SELECT CAST(lam AS DOUBLE) AS "lambda", count(*) AS n, round(exp(avg(-ln((1 - lam) * (coalesce(c, 0) + 0.05) / (n + 0.05 * 65536) + lam * p + 1e-30))), 6) AS ppl
 FROM sfx CROSS JOIN ut CROSS JOIN l LEFT JOIN un ON un.token = sfx.y GROUP BY lam""")
 def lambda_sweep(spark, sf):
-    train, test = _parts(_stream(spark, sf))
+    train, test = _stored_parts(spark, sf)
     folder = scratch(spark, "suffixes")
     got = suffixes.longest_suffix(train, test, folder=folder)
     rows = got.groupBy("y", F.col("p").alias("pg")).agg(F.count("*").alias("times"))
