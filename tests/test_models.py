@@ -104,6 +104,18 @@ def test_chunks_are_scored_before_they_are_learnt(spark):
         assert all(abs(a[2] - b[3]) < 1e-3 for a, b in zip(got[i], want, strict=True))
 
 
+def test_causal_bigram_shuffles_documents_not_words(spark):
+    """One exchange, of documents; rows that share an id are learnt from together."""
+    df = spark.createDataFrame([(1, ["a", "b", "a", "b", "a"]), (1, ["a", "b", "c"]), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    got = learning.causal_bigram(df, size=2)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.chunk: (r.n, r.nll) for r in got.collect()}
+    first = 4 * math.log(4096)
+    second = -(math.log((2 + 0.1) / (2 + 409.6)) + math.log((1 + 0.1) / (2 + 409.6)))
+    assert rows == {0: (4, round(first, 4)), 1: (2, round(second, 4))}
+
+
 @pytest.mark.parametrize("waves", [1, 3])
 def test_learning_goes_on_from_a_checkpoint(spark, tmp_path, waves):
     rng = random.Random(2)

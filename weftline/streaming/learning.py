@@ -6,17 +6,20 @@ had in its predictions. Nothing of a chunk is known while it is scored, whicheve
 
 ``learnt`` is Structured Streaming: the counts, the weights and the open chunk are a document's state, so documents may
 arrive in parts over many rounds, and a run that ends goes on from its checkpoint. ``causal_bigram`` gives the bigram's part
-for whole tables: counts before a chunk are running sums over the chunks of one (document, pair), so no document is gathered.
+for whole tables: a document's words are numbered and its counts made in one task, so what is shuffled is documents, not words.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -103,13 +106,52 @@ def by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum("n").alias("n"), *total, F.round(F.max_by("w_bigram", "chunk"), 9).alias("w_bigram"))
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in a sorted table of keys."""
+    return np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+
+
+def _known(case: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """How many cases of the same number are in chunks before each case's own; chunks grow."""
+    order = np.lexsort((chunk, case))
+    c, k = case[order], chunk[order]
+
+    def first(keys: np.ndarray) -> np.ndarray:
+        mark = np.zeros(len(c), np.int64)
+        mark[_runs(keys)] = _runs(keys)
+        return np.maximum.accumulate(mark)
+
+    out = np.empty(len(c), np.int64)
+    out[order] = first(np.c_[c, k]) - first(c[:, None])
+    return out
+
+
 def causal_bigram(s: DataFrame, size: int = CHUNK, alpha: float = ALPHA, vocab: int = VOCAB) -> DataFrame:
-    """doc_id, chunk, n, nll of the bigram model that knows the document's chunks before; s: doc_id, tokens."""
-    pairs = F.transform(F.sequence(F.lit(2), F.size("tokens")), lambda i: F.struct(F.floor((i - 2) / size).cast("long").alias("chunk"), F.element_at("tokens", i - 1).alias("x"), F.element_at("tokens", i).alias("y")))
-    cases = s.where(F.size("tokens") > 1).select("doc_id", F.inline(pairs)).groupBy("doc_id", "chunk", "x", "y").agg(F.count("*").alias("n"))
-    before = lambda *by: Window.partitionBy("doc_id", *by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    rows = cases.withColumn("cxy", F.coalesce(F.sum("n").over(before("x", "y")), F.lit(0)))
-    own = cases.groupBy("doc_id", "chunk", "x").agg(F.sum("n").alias("m"))
-    own = own.select("doc_id", "chunk", "x", F.coalesce(F.sum("m").over(before("x")), F.lit(0)).alias("cx"))
-    p = (F.col("cxy") + alpha) / (F.col("cx") + alpha * vocab)
-    return rows.join(own, ["doc_id", "chunk", "x"]).groupBy("doc_id", "chunk").agg(F.sum("n").alias("n"), F.round(F.sum(-F.log(p) * F.col("n")), 4).alias("nll"))
+    """doc_id, chunk, n, nll of the bigram model that knows the document's chunks before; s: doc_id, tokens.
+
+    A document is one row, so its counts are made where it is: rows that share an id are brought together, as one string
+    each, and nothing smaller than a document is shuffled.
+    """
+    parts = s.where(F.size("tokens") > 1).groupBy("doc_id").agg(F.collect_list(F.to_json("tokens")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                x, y, chunk = [], [], []
+                ids: dict[str, int] = {}
+                for part in batch.column(1)[row].as_py():
+                    t = np.array([ids.setdefault(w, len(ids)) for w in json.loads(part)], np.int64)
+                    x.append(t[:-1])
+                    y.append(t[1:])
+                    chunk.append(np.arange(len(t) - 1) // size)
+                x, y, chunk = (np.concatenate(a) for a in (x, y, chunk))
+                loss = -np.log((_known(x * len(ids) + y, chunk) + alpha) / (_known(x, chunk) + alpha * vocab))
+                n = np.bincount(chunk)
+                out.append((np.full(len(n), row), np.arange(len(n)), n, np.bincount(chunk, loss)))
+            if out:
+                row, chunk, n, nll = (np.concatenate(a) for a in zip(*out, strict=True))
+                cols = [batch.column(0).take(pa.array(row)), pa.array(chunk), pa.array(n), pa.array(nll)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "chunk", "n", "nll"])
+
+    return parts.mapInArrow(run, "doc_id long, chunk long, n long, nll double").withColumn("nll", F.round("nll", 4))
