@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,6 +120,33 @@ def test_stream_blocks_and_contexts(spark):
     assert sum(len(r.tokens) for r in parts if r.part == "train") == len(flat) * 9 // 10
 
 
+def test_led_streams_give_the_same_without_a_second_shuffle(spark):
+    """Documents of one word and of none, across ranges and the cut of the parts."""
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 1, 1, 2, 40]))) for _ in range(9000)]
+    d = spark.createDataFrame([(k * 3 % 9001, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    flat = [w for _, t in sorted((k * 3 % 9001, t) for k, t in enumerate(texts)) for w in t.split()]
+    s = tokens.stream(d, led=True)
+    assert len(prefix.bounds(d, "doc_id")) > 0
+    v = vocab.top(vocab.frequencies(s), 9)
+    ids = {r.word: r.id for r in v.collect()}
+    mapped = vocab.mapped_stream(s, v)
+    cut = len(flat) * 9 // 10
+    for stream, want in ((s, flat), (mapped, [ids.get(w, 0) for w in flat])):
+        got = sorted((r.start, r.tokens, r.lead) for r in stream.collect())
+        assert [w for _, t, _ in got for w in t] == want
+        assert all(lead == want[max(0, start - tokens.LEAD) : start] for start, _, lead in got)
+        p = tokens.split(stream)
+        for part, own in (("train", want[:cut]), ("test", want[cut:])):
+            rows = p.where(f"part = '{part}'")
+            for n in (1, 2, 3):
+                have = {tuple(r)[:n]: r.cnt for r in ngrams.wide_counts(rows, n).collect()}
+                assert have == Counter(tuple(own[k : k + n]) for k in range(len(own) - n + 1))
+        assert [(r.pos, r.context, r.token) for r in tokens.contexts(p.where("part = 'test'"), 3).orderBy("pos").collect()] == [(i, own[i - 3 : i], own[i]) for i in range(3, len(own))]
+    plans = [x._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") for x in (s, tokens.contexts(mapped, 3))]
+    assert plans[0] == plans[1]  # blocks would be one more
+
+
 def literal_suffix(train, ctx, y, most):
     for n in range(min(most, len(ctx)), 0, -1):
         pat = ctx[len(ctx) - n :]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .ngrams import counts
+from .ngrams import wide_counts
 
 ADD = 0.05  # fixed value: smoothing of both stages
 UNKNOWN = -1  # the unknown word's class
@@ -30,9 +30,9 @@ def cases(train: DataFrame, test: DataFrame, classed: DataFrame, n_classes: int)
     Equal pairs are counted before the joins; tables that have a row for each word of the bounded vocabulary are broadcast.
     """
     words = F.broadcast(class_of(classed))
-    uni = counts(train, 1).select(F.element_at("gram", 1).alias("id"), F.col("cnt").alias("c"))
+    uni = wide_counts(train, 1).select(F.col("g1").alias("id"), F.col("cnt").alias("c"))
     per_class = uni.join(words, "id").groupBy("class").agg(F.sum("c").alias("cc"))
-    pairs = counts(train, 2).select(F.element_at("gram", 1).alias("x"), F.element_at("gram", 2).alias("id"), "cnt")
+    pairs = wide_counts(train, 2).select(F.col("g1").alias("x"), F.col("g2").alias("id"), "cnt")
     follow = pairs.join(words, "id").groupBy("x", "class").agg(F.sum("cnt").alias("cxc"))
     before = pairs.groupBy("x").agg(F.sum("cnt").alias("cx"))
     total = F.broadcast(train.agg(F.sum("n").alias("total")))

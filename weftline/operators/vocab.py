@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +32,24 @@ def mapped(s: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def mapped_stream(s: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The stream with ids for tokens, as one row for each block of positions: start, n, tokens."""
-    rows = mapped(s, vocab).groupBy(F.floor(F.col("pos") / tokens.BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
-    return rows.select(F.element_at("x", 1)["pos"].alias("start"), F.size("x").cast("long").alias("n"), F.transform("x", lambda s: s["id"]).alias("tokens"), F.col("block").alias("doc_id"))
+    """The stream with ids for tokens, row by row: start, n, tokens, doc_id, and lead if the stream has it. The bounded vocabulary is sent to the tasks; nothing is shuffled."""
+    own = vocab.select("id", "word").collect()  # at most MOST rows
+    shared = s.sparkSession.sparkContext.broadcast(([r.word for r in own], [r.id for r in own]))
+    arrays = [c for c in ("tokens", "lead") if c in s.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = pa.array(shared.value[0], pa.string()), pa.array([*shared.value[1], 0], pa.int32()).to_numpy()
+        for batch in batches:
+            cols = [batch.column(0), batch.column(1), batch.column(2)]
+            for k in range(len(arrays)):
+                x = batch.column(3 + k)
+                at = pc.fill_null(pc.index_in(x.flatten(), words), len(words)).to_numpy()  # the last id is that of the unknown word
+                offsets = x.offsets.to_numpy() - x.offsets[0].as_py()
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[at])))
+            yield pa.RecordBatch.from_arrays(cols, names=["start", "n", "doc_id", *arrays])
+
+    rows = s.where("n > 0").select("start", "n", "doc_id", *arrays)
+    return rows.mapInArrow(run, "start long, n long, doc_id long, " + ", ".join(f"{c} array<int>" for c in arrays))
 
 
 def classes(vocab: DataFrame, n_classes: int) -> DataFrame:
