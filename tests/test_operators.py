@@ -199,6 +199,21 @@ def test_a_stored_index_answers_more_than_one_question(spark, tmp_path):
     assert max(r.matched for r in got) == 16
 
 
+def test_full_bit_sets_let_few_unknown_n_grams_pass(spark):
+    """Sets with a quarter of their bits: 9 lengths of unknown n-grams send less than one row for each train token; led streams give the same as blocks."""
+    rng = random.Random(8)
+    train = spark.createDataFrame([(k, " ".join(f"{rng.getrandbits(40):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(100))) for k in range(40)], "doc_id long, text string")
+    s = tokens.stream(train, led=True)
+    quarter = np.full(1 << 12, 0b10001000, np.uint8)
+    rows = suffixes.counted(suffixes.led_index(s), [(1, 8, quarter), (9, 17, quarter)], -1)
+    assert rows.count() < 100  # 4,000 tokens; without the shorter lengths' bits about 9,000 rows
+    assert 1000 < suffixes.counted(suffixes.led_index(s), [(1, 8, quarter)], -1).count() < 2000
+    words = [rng.choice("abcde") for _ in range(3000)]
+    s = tokens.stream(docs(spark, *[" ".join(words[k : k + 7]) for k in range(0, 3000, 7)]), led=True)
+    both = [sorted(map(tuple, suffixes.longest_suffix(*[p.where(f"part = '{x}'") for x in ("train", "test")], 9).collect())) for p in (tokens.split(s), tokens.split(s.drop("lead")))]
+    assert both[0] == both[1] and len(both[0]) == 300
+
+
 def test_registered_longest_suffix_looks_up_16_tokens(spark, tmp_path):
     rng = random.Random(5)
     flat = [rng.choice("abcdef") for _ in range(600)]
