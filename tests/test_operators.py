@@ -147,6 +147,27 @@ def test_led_streams_give_the_same_without_a_second_shuffle(spark):
     assert plans[0] == plans[1]  # blocks would be one more
 
 
+def test_chunked_counts_equal_plain_ones_with_one_shuffle_of_pairs(spark):
+    rng = random.Random(32)
+    texts = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(rng.choice([0, 1, 2, 3, 130]))) for _ in range(40)]
+    flat = [w for t in texts for w in t.split()]
+    for led in (True, False):
+        s = tokens.stream(docs(spark, *texts), led=led)
+        want = Counter()
+        for k in range(1, 5):
+            for a, b in zip(flat, flat[k:]):
+                want[a, b] += 1
+                want[b, a] += 1
+        got = ngrams.cooccurrences(s, 4)
+        assert {(r.a, r.b): r.cnt for r in got.collect()} == want
+        assert {r.a: r.ca for r in ngrams.neighbours(s, 4).collect()} == {a: sum(c for (x, _), c in want.items() if x == a) for a in set(flat)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    led = tokens.stream(docs(spark, *texts), led=True)
+    assert {(r.a, r.b): r.cnt for r in ngrams.both_ways(ngrams.unordered(led, 4, chunk=50)).collect()} == want
+    grams = {(r.n, r.gram): r.cnt for r in ngrams.string_counts(led, 3, chunk=50).collect()}
+    assert grams == Counter((n, " ".join(flat[k : k + n])) for n in (1, 2, 3) for k in range(len(flat) - n + 1))
+
+
 def literal_suffix(train, ctx, y, most):
     for n in range(min(most, len(ctx)), 0, -1):
         pat = ctx[len(ctx) - n :]
