@@ -168,6 +168,30 @@ def test_chunked_counts_equal_plain_ones_with_one_shuffle_of_pairs(spark):
     assert grams == Counter((n, " ".join(flat[k : k + n])) for n in (1, 2, 3) for k in range(len(flat) - n + 1))
 
 
+def test_a_block_of_neighbours_is_searched_in_bounded_room(spark):
+    """1,024 queries by 8,192 vectors: all their products at once would take 67 MB, and as much again to round them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    taken, plain = [], PandasCogroupedOps.applyInArrow
+    e = spark.createDataFrame([(k, [float(k), 1.0], 1) for k in range(4)], "vec_id long, embedding array<double>, label int")
+    PandasCogroupedOps.applyInArrow = lambda self, f, schema: taken.append(f) or plain(self, f, schema)
+    try:
+        similarity.nearest(e, e, 2)
+    finally:
+        PandasCogroupedOps.applyInArrow = plain
+    v = np.random.default_rng(1).normal(size=(8192, 64))
+    side = lambda n: pa.table({"id": np.arange(n), "v": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(v[:n].ravel())), "label": pa.array(np.zeros(n, np.int32))})
+    a, b = side(1024), side(8192)
+    tracemalloc.start()
+    got = taken[0](a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 2048 and peak < 30e6
+
+
 def literal_suffix(train, ctx, y, most):
     for n in range(min(most, len(ctx)), 0, -1):
         pat = ctx[len(ctx) - n :]
