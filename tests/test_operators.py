@@ -192,6 +192,20 @@ def test_a_block_of_neighbours_is_searched_in_bounded_room(spark):
     assert got.num_rows == 2048 and peak < 30e6
 
 
+def test_causal_unigram_over_spans_shuffles_no_tokens(spark):
+    rng = random.Random(33)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 9, 70]))) for _ in range(40)]
+    got = ngrams.causal_unigram(tokens.stream(docs(spark, *texts)), 0.1, 4096, span=64)
+    seen, want = Counter(), []
+    for i, t in enumerate(texts):
+        for w in t.split():
+            want.append((len(want), i, round((seen[w] + 0.1) / (len(want) + 409.6), 12)))
+            seen[w] += 1
+    assert sorted((r.pos, r.doc_id, round(r.p, 12)) for r in got.collect()) == want
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert all("token" not in x or "part" in x for x in windows)
+
+
 def literal_suffix(train, ctx, y, most):
     for n in range(min(most, len(ctx)), 0, -1):
         pat = ctx[len(ctx) - n :]
