@@ -353,3 +353,14 @@ def test_shuffled_is_a_seeded_permutation(spark):
     a, b = ([r.i for r in sampling.shuffled(df.repartition(k), "i", 3).orderBy("place").collect()] for k in (1, 6))
     assert a == b and sorted(a) == list(range(500)) and a != sorted(a)
     assert [r.place for r in sampling.shuffled(df, "i", 4).orderBy("place").collect()] == list(range(500))
+
+
+def test_chains_are_moved_on_alike_with_and_without_sent_contexts(spark, monkeypatch):
+    s = tokens.stream(spark.createDataFrame([(k, "a b a c b a b d c") for k in range(3)], "doc_id long, text string"))
+    table = cut(generation.successors(s, 2))
+    seeds = spark.createDataFrame([(1, ["a", "b"]), (2, ["x"]), (3, ["x", "c"])], "chain long, context array<string>")
+    runs = []
+    for most in (0, 10):
+        monkeypatch.setattr(generation, "MOST_SENT", most)
+        runs.append(sorted(map(tuple, generation.generated(seeds, table, 2, steps=2).collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == 3

@@ -21,6 +21,7 @@ from .lineage import cut
 from .ngrams import counts
 
 STEPS = 24  # fixed value: words that are drawn
+MOST_SENT = 1_000_000  # chains whose contexts are sent to the table, so that it isn't shuffled in each step; more are joined by shuffles
 UNIT = 1_000_000  # of the largest weight, at other temperatures than 1
 
 
@@ -57,22 +58,30 @@ def generated(seeds: DataFrame, table: DataFrame, most: int, steps: int = STEPS,
 
     seeds: chain, context (array of words, of which the last `most` count); table: from `successors`, written.
     """
-    sizes = table.groupBy("len", "context").agg(F.max("total").alias("total"), F.max("width").alias("width"))
-    now = seeds.select("chain", F.col("context").alias("seen"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("backed"))
+    sizes = cut(table.groupBy("len", "context").agg(F.max("total").alias("total"), F.max("width").alias("width")))
+    now = cut(seeds.select("chain", F.col("context").alias("seen"), F.array().cast("array<string>").alias("words"), F.lit(0).alias("backed")))
+    few = now.count() <= MOST_SENT
     for step in range(steps):
         rows = now
         for n in range(most, -1, -1):
-            have = sizes.where(F.col("len") == n).select(F.col("context").alias(f"c{n}"), F.col("total").alias(f"t{n}"), F.col("width").alias(f"w{n}"))
             own = F.array_join(F.slice("seen", -n, n), " ") if n else F.lit("")
             key = F.when(F.size("seen") >= n, own)
+            have = sizes.where(F.col("len") == n)
+            if few and n:
+                have = have.join(F.broadcast(now.select(key.alias("context")).distinct()), "context", "left_semi")
+            have = have.select(F.col("context").alias(f"c{n}"), F.col("total").alias(f"t{n}"), F.col("width").alias(f"w{n}"))
             rows = rows.withColumn("key", key).join(F.broadcast(have) if n == 0 else have, F.col("key") == F.col(f"c{n}"), "left").drop("key")
         first = lambda f: F.coalesce(*[F.when(F.col(f"t{n}").isNotNull(), f(n)) for n in range(most, -1, -1)])
         rows = rows.select("chain", "seen", "words", "backed", first(lambda n: F.lit(n)).alias("len"), first(lambda n: F.col(f"c{n}")).alias("context"), first(lambda n: F.col(f"t{n}")).alias("total"), first(lambda n: F.col(f"w{n}")).alias("width"))
         u = unit_draw(F.concat_ws(":", F.lit(seed), F.col("chain"), F.lit(step)))
         rows = rows.withColumn("at", F.floor(u * F.col("total")).cast("long")).withColumn("slot", F.floor(F.col("at") / F.col("width")).cast("long"))
-        got = rows.join(table.select("len", "context", "slot", "word", "lo", "hi"), ["len", "context", "slot"]).where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+        keys, listed = ["len", "context", "slot"], table.select("len", "context", "slot", "word", "lo", "hi")
+        if few:
+            rows = cut(rows)
+            listed = listed.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
+        got = rows.join(listed, keys).where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
         grown = F.concat("seen", F.array("word"))
         now = got.select("chain", F.slice(grown, F.greatest(F.lit(1), F.size(grown) - max(most, 1) + 1), max(most, 1)).alias("seen"), F.concat("words", F.array("word")).alias("words"), (F.col("backed") + (F.col("len") < most).cast("int")).alias("backed"))
-        if (step + 1) % every == 0:
+        if few or (step + 1) % every == 0:
             now = cut(now)  # plans must not grow with the number of steps
     return now.select("chain", "words", "backed")
