@@ -426,3 +426,21 @@ def test_head_to_head_counts_rows_by_their_times(spark):
     assert tuple(metrics.head_to_head(rows, "a", "b", times="m").first()) == (10, 3, 2, 5)
     assert tuple(metrics.head_to_head(rows, "a", "b").first()) == (3, 1, 1, 1)
     assert tuple(metrics.head_to_head(rows.limit(0), "a", "b", times="m").first()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("led", [True, False])
+def test_suffix_ranks_in_many_ranges(spark, led):
+    """Chunks of 50 tokens in ranges of 20, one suffix in several: ranks go on from range to range."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "ab", "b", "z" * 15]) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(30)] + ["a " * 150, "", "ab a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.pos: r["rank"] for r in ngrams.suffix_ranks(tokens.stream(df, led=led), 4, chunk=50, share=20).collect()}
+    flat = " ".join(texts).split()
+    key = [tuple(flat[i : i + 16]) for i in range(len(flat))]
+    order = {k: n + 1 for n, k in enumerate(sorted(set(key)))}
+    assert got == {i: order[k] for i, k in enumerate(key)}
+
+
+def test_suffix_ranks_write_no_round_and_join_no_tokens(spark, sf):
+    plan = catalog.suffix_ranks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "posexplode" not in plan  # rounds were written, with a row for each token
