@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -444,3 +445,71 @@ def test_suffix_ranks_in_many_ranges(spark, led):
 def test_suffix_ranks_write_no_round_and_join_no_tokens(spark, sf):
     plan = catalog.suffix_ranks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "posexplode" not in plan  # rounds were written, with a row for each token
+
+
+def _word_docs(spark, rng, n=60):
+    rows = [(d, " ".join(rng.choice(["a", "b", f"w{'xyz'[d % 3]}", "q" * rng.randint(1, 40)]) for _ in range(rng.randint(0, 30)))) for d in range(n)]
+    rows += [(5, "a a b"), (40, "b qq qq")]  # ids that are there again
+    return rows, spark.createDataFrame([(d, t.split()) for d, t in rows], "doc_id long, tokens array<string>").repartition(3)
+
+
+def _brute(rows, cap):
+    keys = {}
+    for d, t in rows:
+        for w in t.split():
+            keys.setdefault(w, Counter())[d] += 1
+    return keys, {w: sorted(c)[:cap] for w, c in keys.items()}
+
+
+def test_postings_of_chunks(spark):
+    rows, df = _word_docs(spark, random.Random(4))
+    keys, first = _brute(rows, 7)
+    got = {(r.key, r.doc_id): (r.nth, r.margin) for r in similarity.postings(df, 7, chunk=50).collect()}
+    assert got == {(w, d): (n + 1, keys[w][d]) for w, ds in first.items() for n, d in enumerate(ds)}
+    late = spark.createDataFrame([(None, ["a"]), (3, ["a", "a"])], "doc_id long, tokens array<string>")
+    assert sorted(map(tuple, similarity.postings(late).collect()), key=str) == [("a", 3, 1, 2), ("a", None, 2, 1)]
+
+
+def test_recall_adds_up_in_blocks_of_queries(spark, monkeypatch):
+    """Small blocks and few pairs at a time give what all pairs give, and no pair of a query and a document is shuffled."""
+    monkeypatch.setattr(similarity, "ASKED", 40)
+    monkeypatch.setattr(similarity, "PAIRS", 50)
+    rows, df = _word_docs(spark, random.Random(5))
+    keys, first = _brute(rows, 7)
+    score, own = {}, Counter()
+    for w, ds in first.items():
+        for q, m in keys[w].items():
+            if q % 4 == 0:
+                own[q] += m
+                for d in ds:
+                    if d != q:
+                        score.setdefault(q, Counter())[d] += m
+    codes = spark.createDataFrame([(q, w, m) for w, c in keys.items() for q, m in c.items() if q % 4 == 0], "query_id long, key string, margin long").repartition(3)
+    index = similarity.postings(df, 7)
+    got = similarity.recall(codes, index, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(margin" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    want = {(q, n + 1): (d, s) for q, c in score.items() for n, (d, s) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:3])}
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in got.collect()} == want
+
+    names = [(d, ["en", "de", None][d % 3]) for d in range(0, 60) if d % 7] + [(5, "fr"), (5, "fr")]
+    labels = spark.createDataFrame(names, "doc_id long, label string")
+    votes, best = {}, {}
+    for q, c in score.items():
+        for d, s in c.items():
+            for name in [x for e, x in names if e == d]:
+                votes.setdefault(q, Counter())[name] += (s / own[q]) ** 3
+                best[q] = max(best.get(q, 0), s / own[q])
+    out = {(r.query_id, r.label): (r.p, r.best) for r in similarity.recalled(codes, index, labels).collect()}
+    assert out.keys() == {(q, x) for q, c in votes.items() for x in c}
+    for (q, x), (p, b) in out.items():
+        assert abs(p - votes[q][x] / sum(votes[q].values())) < 1e-9 and abs(b - best[q]) < 1e-9
+
+
+def test_recall_without_rows(spark):
+    codes = spark.createDataFrame([], "query_id long, key string, margin long")
+    index = similarity.postings(spark.createDataFrame([], "doc_id long, tokens array<string>"))
+    assert similarity.recall(codes, index, 3).count() == 0
+    one = spark.createDataFrame([(1, "a", 2)], "query_id long, key string, margin long")
+    assert similarity.recall(one, index, 3).count() == 0
+    assert similarity.recalled(one, index, spark.createDataFrame([(1, 7)], "doc_id long, label int")).count() == 0
