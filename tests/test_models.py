@@ -364,3 +364,22 @@ def test_chains_are_moved_on_alike_with_and_without_sent_contexts(spark, monkeyp
         monkeypatch.setattr(generation, "MOST_SENT", most)
         runs.append(sorted(map(tuple, generation.generated(seeds, table, 2, steps=2).collect())))
     assert runs[0] == runs[1] and len(runs[0]) == 3
+
+
+def test_relays_meet_in_their_buckets(spark, monkeypatch):
+    """Few rows of bands in a task and few products at a time: the same as all pairs, copies too; no pair is shuffled."""
+    monkeypatch.setattr(relay, "SHARE", 100)
+    monkeypatch.setattr(relay, "PAIRS", 3)
+    rng = random.Random(8)
+    base = [{f"k{rng.randrange(40)}": rng.randint(1, 3) for _ in range(4)} for _ in range(12)]
+    codes = {d: base[d % 12] for d in range(60)}
+    df = spark.createDataFrame([(d, k, m) for d, c in codes.items() for k, m in c.items()], "doc_id long, key string, margin long").repartition(5)
+    s = {r.doc_id: np.array(r.s) for r in relay.sums(df).collect()}
+    want = {}
+    for q in range(0, 60, 5):
+        cos = {d: round(float(s[q] @ v / np.linalg.norm(s[q]) / np.linalg.norm(v)), 8) for d, v in s.items() if d != q and any(((s[q] >= 0) == (v >= 0))[b * 16 : b * 16 + 16].all() for b in range(8))}
+        want |= {(q, n + 1): (d, cos[d]) for n, d in enumerate(sorted(cos, key=lambda d: (-cos[d], d))[:5])}
+    got = relay.near(df, F.col("doc_id") % 5 == 0, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+    assert {(r.query_id, r["rank"]): (r.doc_id, round(r.cos, 8)) for r in got.collect()} == want
