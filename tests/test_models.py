@@ -383,3 +383,21 @@ def test_relays_meet_in_their_buckets(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
     assert {(r.query_id, r["rank"]): (r.doc_id, round(r.cos, 8)) for r in got.collect()} == want
+
+
+def test_a_document_is_learnt_without_an_object_for_each_word():
+    """The same losses however a document is cut, from states that hold a few bytes for each word."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(300)}" for _ in range(5000)]
+    want = literal_learning(words, 256)
+    for steps in ([1000], [1], [255, 1, 700], [256], [5000]):
+        state, at, k, got = None, 0, 0, defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+        while at < len(words):
+            own = learning.Learner(state)
+            n = steps[k % len(steps)] if k < 40 else 5000  # after some parts the rest at once
+            for _, c, m, nll, _, big, *w in own.read([(k, words[at : at + n])], 256):
+                g = got[c]
+                g[0], g[1], g[2], g[3] = g[0] + m, g[1] + nll, g[2] + big, w[2]
+            state, at, k = own.state(), at + n, k + 1
+        assert [(c, *got[c]) for c in sorted(got)] == [(c, n, pytest.approx(a), pytest.approx(b), pytest.approx(w)) for c, n, a, b, w in want]
+    assert len(state) == 6 and len(state[3]) < 8 * len(words)  # was three values of Python for each different pair

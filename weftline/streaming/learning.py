@@ -12,8 +12,7 @@ for whole tables: a document's words are numbered and its counts made in one tas
 from __future__ import annotations
 
 import json
-import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,57 +25,82 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CHUNK, ALPHA, VOCAB = 256, 0.1, 4096
 RATE = 0.05  # fixed value: how far weights move after a chunk
 RESULT = "doc_id long, part long, chunk long, n long, nll double, nll_unigram double, nll_bigram double, w_uniform double, w_unigram double, w_bigram double"
-STATE = "part long, seen long, last string, x array<string>, y array<string>, c array<long>, mix array<double>, open_x array<string>, open_y array<string>, share array<double>"
+STATE = "part long, seen long, last string, known binary, mix array<double>, share array<double>"
+WORDS = 1 << 31  # more than a document has different words
 
 
 class Learner:
-    """What is known of one document."""
+    """What is known of one document: its words by number, how often which follows which in complete chunks, and the open chunk's cases.
+
+    In a state these are one compressed value, so it is a few bytes for each word and no object for each.
+    """
 
     def __init__(self, state: tuple | None):
-        self.part, self.seen, self.last, x, y, c, mix, ox, oy, share = state or (-1, 0, None, [], [], [], [0.0] * 3, [], [], [0.0] * 3)
-        self.pairs = Counter(dict(zip(zip(x, y, strict=True), c, strict=True)))
-        self.open, self.mix, self.share = list(zip(ox, oy, strict=True)), list(mix), list(share)
-        self.before, self.after = Counter(), Counter()
-        for (a, b), n in self.pairs.items():
-            self.before[a] += n
-            self.after[b] += n
+        self.part, self.seen, self.last, known, mix, share = state or (-1, 0, None, None, [0.0] * 3, [0.0] * 3)
+        self.mix, self.share, self.ids = np.array(mix), np.array(share), {}
+        self.pairs, self.times, self.open = (np.zeros(0, np.int64) for _ in range(3))
+        if known is not None:
+            b = zlib.decompress(known)
+            text, pairs, opened = np.frombuffer(b, np.int64, 3)
+            self.ids = {w: i for i, w in enumerate(json.loads(b[24 : 24 + text]))}
+            rest = np.frombuffer(b[24 + text :], np.int64)
+            self.pairs, self.times, self.open = np.cumsum(rest[:pairs]), rest[pairs : 2 * pairs], rest[2 * pairs :]
 
     def state(self) -> tuple:
-        x, y, c = [a for a, _ in self.pairs], [b for _, b in self.pairs], list(self.pairs.values())
-        return self.part, self.seen, self.last, x, y, c, self.mix, [a for a, _ in self.open], [b for _, b in self.open], self.share
-
-    def weights(self) -> list[float]:
-        e = [math.exp(m - max(self.mix)) for m in self.mix]
-        return [v / sum(e) for v in e]
-
-    def read(self, words: list[str], size: int) -> Iterator[list]:
-        """chunk, n, losses and weights of each chunk's share of these words."""
-        learnt, w = self.seen - len(self.open), self.weights()
-        row = [self.seen // size, 0, 0.0, 0.0, 0.0, *w]
-        for word in words:
-            before, self.last = self.last, word
-            if before is None:
-                continue
-            p = [1 / VOCAB, (self.after[word] + ALPHA) / (learnt + ALPHA * VOCAB), (self.pairs[before, word] + ALPHA) / (self.before[before] + ALPHA * VOCAB)]
-            mixed = sum(a * b for a, b in zip(w, p, strict=True))
-            row[1] += 1
-            for k, v in ((2, mixed), (3, p[1]), (4, p[2])):
-                row[k] -= math.log(v)
-            self.share = [s + a * b / mixed for s, a, b in zip(self.share, w, p, strict=True)]
-            self.open.append((before, word))
-            self.seen += 1
+        text = json.dumps(list(self.ids)).encode()
+        head = np.array([len(text), len(self.pairs), len(self.open)], np.int64)
+        parts = [head.tobytes(), text, np.diff(self.pairs, prepend=0).tobytes(), self.times.tobytes(), self.open.tobytes()]
+        return self.part, self.seen, self.last, zlib.compress(b"".join(parts), 1), self.mix.tolist(), self.share.tolist()
+
+    def weights(self) -> np.ndarray:
+        e = np.exp(self.mix - self.mix.max())
+        return e / e.sum()
+
+    def read(self, parts: list[tuple[int, list[str]]], size: int) -> list[list]:
+        """part, chunk, n, losses and weights of each part's share of each chunk."""
+        words = [w for _, p in parts for w in p]
+        if not words:
+            return []
+        t = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int64)
+        part = np.repeat([k for k, _ in parts], [len(p) for _, p in parts])
+        if self.last is None:
+            x, y, part = t[:-1], t[1:], part[1:]
+        else:
+            x, y = np.r_[self.ids[self.last], t[:-1]], t
+        self.last = words[-1]
+        old = len(self.open)
+        case = np.r_[self.open, x * WORDS + y]
+        chunk = (self.seen - old + np.arange(len(case))) // size
+        x, y = case // WORDS, case % WORDS
+
+        # counts of the complete chunks before this call, and of those before each case's own in it
+        known = [np.bincount(k, self.times, minlength=len(self.ids)) for k in (self.pairs // WORDS, self.pairs % WORDS)]
+        before, after, both = known[0][x], known[1][y], np.zeros(len(case))
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, case), len(self.pairs) - 1)
+            both = np.where(self.pairs[at] == case, self.times[at], 0)
+        if len(chunk) and chunk[-1] > chunk[0]:
+            before, after, both = before + _known(x, chunk), after + _known(y, chunk), both + _known(case, chunk)
+        p = np.stack([np.full(len(case), 1 / VOCAB), (after + ALPHA) / (chunk * size + ALPHA * VOCAB), (both + ALPHA) / (before + ALPHA * VOCAB)])[:, old:]
+        loss, own = -np.log(p[1:]), chunk[old:]
+
+        out, w = [], self.weights()
+        turn = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])]) if len(own) else []
+        for lo, hi in zip(turn, [*turn[1:], len(own)][: len(turn)], strict=True):
+            q = p[:, lo:hi]
+            mixed = w @ q
+            out.append([int(part[lo]), int(own[lo]), int(hi - lo), -np.log(mixed).sum(), *loss[:, lo:hi].sum(1), *w])
+            self.share = self.share + w * (q / mixed).sum(1)
+            self.seen += int(hi - lo)
             if self.seen % size == 0:
-                yield row
-                self.mix = [m + RATE * (s / size - a) for m, s, a in zip(self.mix, self.share, w, strict=True)]
-                for a, b in self.open:
-                    self.pairs[a, b] += 1
-                    self.before[a] += 1
-                    self.after[b] += 1
-                self.open, self.share = [], [0.0] * 3
-                learnt, w = self.seen, self.weights()
-                row = [self.seen // size, 0, 0.0, 0.0, 0.0, *w]
-        if row[1]:
-            yield row
+                self.mix = self.mix + RATE * (self.share / size - w)
+                self.share, w = np.zeros(3), self.weights()
+        whole = len(case) // size * size
+        if whole:
+            self.pairs, at = np.unique(np.r_[self.pairs, case[:whole]], return_inverse=True)
+            self.times = np.bincount(at, np.r_[self.times, np.ones(whole, np.int64)]).astype(np.int64)
+        self.open = case[whole:]
+        return out
 
 
 def learnt(parts: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -88,14 +112,16 @@ def learnt(parts: DataFrame, size: int = CHUNK) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = Learner(state.get if state.exists else None)
-        rows, out = sorted((int(r.part), i, r.tokens) for i, r in enumerate(pd.concat(list(frames)).itertuples())), []
-        for part, _, words in rows:
-            if part <= own.part:
-                continue
-            out += [[key[0], part, *r] for r in own.read(list(words), size)]
-            own.part = part
+        rows = sorted(((int(p), i, j, t) for i, f in enumerate(frames) for j, (p, t) in enumerate(zip(f["part"], f["tokens"], strict=True))), key=lambda r: r[:3])
+        fresh = []
+        for part, _, _, words in rows:
+            if part > own.part:
+                fresh.append((part, list(words)))
+                own.part = part
+        out = own.read(fresh, size)
         state.update(own.state())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        yield pd.DataFrame({n: c for n, c in zip(names, [[key[0]] * len(out), *zip(*out, strict=True)], strict=True)} if out else {n: [] for n in names})
 
     return parts.groupBy("doc_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
