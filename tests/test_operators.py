@@ -513,3 +513,23 @@ def test_recall_without_rows(spark):
     one = spark.createDataFrame([(1, "a", 2)], "query_id long, key string, margin long")
     assert similarity.recall(one, index, 3).count() == 0
     assert similarity.recalled(one, index, spark.createDataFrame([(1, 7)], "doc_id long, label int")).count() == 0
+
+
+def test_overlaps_count_every_document(spark, tmp_path, monkeypatch):
+    """Documents behind a word's first 48 are found; small blocks, few common words and few sums at a time give the same."""
+    rng = random.Random(6)
+    rows, _ = _word_docs(spark, rng, 150)
+    rows += [(160, "late b b a"), (161, "late b a"), (None, "late a"), (162, None)]
+    keys, _ = _brute([r for r in rows if r[0] is not None and r[1]], 0)
+    score = {}
+    for c in keys.values():
+        for query, m in c.items():
+            for d in c if query % 20 == 0 else ():
+                if d != query:
+                    score.setdefault(query, Counter())[d] += m
+    want = {(x, n + 1, d, s) for x, c in score.items() for n, (d, s) in enumerate(sorted(c.items(), key=lambda e: (-e[1], e[0]))[:5])}
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert set(map(tuple, catalog.overlap_recall(spark, str(tmp_path)).collect())) == want
+    for name, value in (("SIDE", (3, 200)), ("HELD", 300), ("CELLS", 40), ("COMMON", 2)):
+        monkeypatch.setattr(similarity, name, value)
+    assert set(map(tuple, catalog.overlap_recall(spark, str(tmp_path)).collect())) == want
