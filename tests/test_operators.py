@@ -533,3 +533,28 @@ def test_overlaps_count_every_document(spark, tmp_path, monkeypatch):
     for name, value in (("SIDE", (3, 200)), ("HELD", 300), ("CELLS", 40), ("COMMON", 2)):
         monkeypatch.setattr(similarity, name, value)
     assert set(map(tuple, catalog.overlap_recall(spark, str(tmp_path)).collect())) == want
+
+
+def _spread(spark, monkeypatch):
+    from weftline.operators import packed
+
+    monkeypatch.setattr(packed.frequent, "__defaults__", (3,))  # few words have a number in all tasks, so most pairs are of two others
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["the", "of", "q", "z" * rng.randint(1, 6), "ab" * rng.randint(1, 4)]) for _ in range(rng.choice([1, 2, 30]))) for _ in range(40)]
+    flat, want = " ".join(texts).split(), Counter()
+    for k in range(1, 5):
+        for x, y in zip(flat, flat[k:], strict=False):
+            want[x, y] += 1
+            want[y, x] += 1
+    led = tokens.stream(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), led=True)
+    return led, want
+
+
+def test_pairs_are_shuffled_as_packed_rows(spark, monkeypatch):
+    """A chunk sends a row to each part, not one for each pair; pairs of words that no task knows beforehand are counted too."""
+    led, want = _spread(spark, monkeypatch)
+    assert {(r.a, r.b): r.cnt for r in ngrams.cooccurrences(led, 4).collect()} == want
+    rows, known, parts = ngrams._pairs(led, 4, 10**6)
+    assert len(known) == 3 and rows.count() <= 2 * parts * led.rdd.getNumPartitions() and rows.count() < len(want)
+    plan = ngrams.cooccurrences(led, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "times" in plan and "kind" not in plan
