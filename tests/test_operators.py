@@ -558,3 +558,14 @@ def test_pairs_are_shuffled_as_packed_rows(spark, monkeypatch):
     assert len(known) == 3 and rows.count() <= 2 * parts * led.rdd.getNumPartitions() and rows.count() < len(want)
     plan = ngrams.cooccurrences(led, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "times" in plan and "kind" not in plan
+
+
+def test_positive_pmi_joins_only_pairs_of_rare_words(spark, monkeypatch):
+    led, want = _spread(spark, monkeypatch)
+    each, total = Counter(), sum(want.values())
+    for (a, _), c in want.items():
+        each[a] += c
+    pmi = {(a, b): math.log(c * total / (each[a] * each[b])) for (a, b), c in want.items()}
+    got = {(r.a, r.b): (r.cnt, r.pmi) for r in ngrams.positive_pmi(led, 4, ngrams.neighbours(led, 4)).collect()}
+    assert got.keys() == {k for k, p in pmi.items() if p > 0}
+    assert all(c == want[k] and abs(p - pmi[k]) < 1e-9 for k, (c, p) in got.items())
