@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import classmodel, generation, learners, metrics, relay, sampling, scoring, tokens, vocab
+from weftline.operators import classmodel, generation, learners, metrics, packed, relay, sampling, scoring, tokens, vocab
 from weftline.operators.lineage import cut
 from weftline.plans import catalog, models  # noqa: F401
 from weftline.sources import readers, records
@@ -366,6 +366,26 @@ def test_chains_are_moved_on_alike_with_and_without_sent_contexts(spark, monkeyp
     assert runs[0] == runs[1] and len(runs[0]) == 3
 
 
+def test_packed_chains_are_drawn_as_joined_ones(spark, monkeypatch):
+    """Many small parts, few words that all tasks know, unknown contexts and short seeds; the table is not shuffled again."""
+    monkeypatch.setattr(generation, "SHARE", 60)
+    monkeypatch.setattr(packed.frequent, "__defaults__", (3,))
+    monkeypatch.setattr(packed.dealt, "__defaults__", (50,))
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "b", "c", "z" * rng.randint(1, 9)]) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(30)]
+    s = tokens.stream(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), led=True)
+    seeds = [(k, rng.choice([["a", "b"], ["zz", "c"], ["zzz", "zzzz"], ["nowhere", "a"], ["nowhere"], ["b"], []])) for k in range(200)]
+    seeds = spark.createDataFrame(seeds, "chain long, context array<string>").repartition(3)
+    table, n2, n1 = generation.packed_successors(s)
+    assert n2 > 5
+    got = {r.chain: (r.text, r.backed) for r in generation.drawn(seeds, table, n2, n1, steps=6).collect()}
+    joined = generation.generated(seeds, cut(generation.successors(s, 2)), 2, steps=6)
+    assert got == {r.chain: (" ".join(r.words), r.backed) for r in joined.collect()} and len(got) == 200
+    plan = seeds.select(F.lit(1).alias("part"), "chain").groupBy("part").cogroup(table.groupBy("part")).applyInArrow(lambda a, b: a, "part int, chain long")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the chains alone
+
+
 def test_relays_meet_in_their_buckets(spark, monkeypatch):
     """Few rows of bands in a task and few products at a time: the same as all pairs, copies too; no pair is shuffled."""
     monkeypatch.setattr(relay, "SHARE", 100)

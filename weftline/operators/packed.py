@@ -37,7 +37,7 @@ def spelled(words: pa.Array) -> bytes:
 
 def words_of(b: bytes) -> pa.Array:
     text = _unpack(b).decode()
-    return pa.array(text.split(tokens.MARK) if text else [], pa.string())
+    return pc.split_pattern(pa.array([text] if text else [], pa.string()), tokens.MARK).flatten()
 
 
 def _codes(words: pa.Array) -> np.ndarray:
