@@ -569,3 +569,8 @@ def test_positive_pmi_joins_only_pairs_of_rare_words(spark, monkeypatch):
     got = {(r.a, r.b): (r.cnt, r.pmi) for r in ngrams.positive_pmi(led, 4, ngrams.neighbours(led, 4)).collect()}
     assert got.keys() == {k for k, p in pmi.items() if p > 0}
     assert all(c == want[k] and abs(p - pmi[k]) < 1e-9 for k, (c, p) in got.items())
+
+
+def test_suffix_ranks_read_the_texts_for_one_stored_stream(spark, sf):
+    plan = catalog.suffix_ranks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents" not in plan  # counts, samples and packs read the stored stream
