@@ -574,3 +574,17 @@ def test_positive_pmi_joins_only_pairs_of_rare_words(spark, monkeypatch):
 def test_suffix_ranks_read_the_texts_for_one_stored_stream(spark, sf):
     plan = catalog.suffix_ranks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "documents" not in plan  # counts, samples and packs read the stored stream
+
+
+def test_documents_of_a_block_ask_once(spark, tmp_path):
+    """Equal n-grams of many short documents are one question of their block; what was found is not kept as a checkpoint."""
+    s = tokens.stream(spark.createDataFrame([(k, "a b") for k in range(100)], "doc_id long, text string").repartition(3), led=True)
+    test = suffixes.asked_index(s, f"{tmp_path}/asked")
+    assert suffixes.asked(test, 1, 2, None).count() == 4  # a, b, a b and b a
+    assert suffixes.asked(suffixes.asked_index(s, f"{tmp_path}/small", size=50), 1, 2, None).count() == 16
+    s.write.parquet(f"{tmp_path}/s")
+    s = spark.read.schema(s.schema).parquet(f"{tmp_path}/s")
+    got = suffixes.longest_suffix(s, s)
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.pos: (r.y, r.matched) for r in got.collect()}
+    assert rows == {k: ("ab"[k % 2], min(k, 16)) for k in range(200)}
